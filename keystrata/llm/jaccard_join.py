@@ -6,10 +6,12 @@ order of elements their prefixes share some. Three orders are used: the hash its
  1. Under the first order a prefix with room for k(n) shared elements is spread over the cluster. Elements that stand in one
     class only can't be shared; a class with fewer than the sure number of shared ones has no partner.
  2. Classes that remain are grouped by their shared prefix elements. Each group's most central member (the one
-    with the largest part of its prefix shared) meets the others; pairs must be near in size and share prefix elements under
-    the second and third order too; what passes is verified on the whole sets.
+    with the largest part of its prefix shared) is its centre, and every member meets the centre that it shares most with;
+    pairs must be near in size and share prefix elements under the second and third order too; what passes is
+    verified on the whole sets.
  3. Links merge classes into components. Groups that still hold several components take their next member as centre. After
-    ROUNDS of that, all pairs of different components within a group are compared, so no link that joins two components is lost.
+    ROUNDS of that, all pairs of different components that share as many elements of the first prefix as any linked pair
+    must are compared, so no link that joins two components is lost.
 
 Sets are hashed with 64 bits and classes with 128.
 
@@ -29,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import BITS, bit_set, stored
+from keystrata.llm.common import BITS, bit_set, drop_stored, release, stored
 from keystrata.llm.graph import components
 from keystrata.llm.text_hash import fmix, shingles, word_hashes
 
-ROUNDS = 3
+ROUNDS = 2
 #: The part of a set by which the first prefix is longer than needed, so that several elements must be shared.
 EXTRA = Fraction(1, 20)
 _SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
@@ -88,52 +90,55 @@ def sets_of(docs: DataFrame, words: int, t: Fraction, only: bytes | None = None,
 
 
 def candidates_left(sets: DataFrame, t: Fraction) -> DataFrame:
-    """Classes that can have a partner: (rep, n, fa, fb, central)."""
+    """Classes that can have a partner: (rep, n, central)."""
     reps = sets.where("n > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
-    own = sets.where("n > 0").select("doc_id", "n", "fa", "fb", "p1").join(reps.select(F.col("rep"), F.col("fa").alias("_a"), F.col("fb").alias("_b")), (F.col("doc_id") == F.col("rep")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
-    e = own.select("rep", "n", F.explode("p1").alias("x"))
-    shared = e.groupBy("x").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("x")
-    need = lambda n: F.ceil(n * F.lit(t.numerator) / F.lit(t.denominator))
-    hits = e.join(shared, "x").groupBy("rep", "n").agg(F.count(F.lit(1)).alias("hits"))
-    # one less than what is sure, as a guard for rounding in the division
-    return hits.where(F.col("hits") >= 1 + F.floor(need(F.col("n")) * float(EXTRA) - 1e-6)).select("rep", "n", (F.col("hits") / F.col("n")).alias("central"))
+    own = sets.where("n > 0").select("doc_id", "fa", "fb", "p1").join(reps.select(F.col("rep"), F.col("fa").alias("_a"), F.col("fb").alias("_b")), (F.col("doc_id") == F.col("rep")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
+    hits = shared_only(own.select("rep", F.explode("p1").alias("x"))).groupBy("rep").agg(F.count(F.lit(1)).alias("hits"))
+    sized = sets.where("n > 0").groupBy(F.col("doc_id").alias("rep")).agg(F.min("n").alias("n"))
+    need = F.ceil(F.col("n") * F.lit(t.numerator) / F.lit(t.denominator) - 1e-9)
+    # the guard for rounding keeps a class rather than lose one
+    return hits.join(sized, "rep").where(F.col("hits") >= 1 + F.floor(need * float(EXTRA) - 1e-6)).select("rep", "n", (F.col("hits") / F.col("n")).alias("central"))
+
+
+def shared_only(e: DataFrame) -> DataFrame:
+    """The rows of e (rep, x, ...) whose x stands in several classes. One exchange by x serves the count and the join."""
+    r = e.repartition("x")
+    two = r.groupBy("x").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("x")
+    return r.join(two, "x")
 
 
 def links(d: DataFrame, t: Fraction) -> DataFrame:
     """Merge the classes of d (rep, n, central, p1, p2, p3, tokens): (rep, component) of those that link."""
     need = lambda n: F.ceil(n * F.lit(t.numerator) / F.lit(t.denominator) - 1e-9)
-    e = d.select("rep", "n", "central", F.explode("p1").alias("x"))
-    two = e.groupBy("x").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("x")
-    e = stored(e.join(two, "x"), "prefixes")
+    sure = lambda n: 1 + F.floor(n * float(EXTRA) - 1e-6)
+    e = stored(shared_only(d.select("rep", "n", "central", F.explode("p1").alias("x"))), "prefixes")
     sets = d.select("rep", "n", "p2", "p3", "tokens")
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for step in range(ROUNDS + 1):
-        g = e if labels is None else e.join(labels, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        if labels is None:
-            g = g.withColumn("label", F.col("rep"))
-        open_ = g.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("x")
-        g = g.join(open_, "x")
+        g = e.withColumn("label", F.col("rep")) if labels is None else e.join(labels, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        g = g.repartition("x")
+        near = (F.col("na") >= need(F.col("nb"))) & (F.col("nb") >= need(F.col("na")))
         if step < ROUNDS:
-            rank = F.struct((-F.col("central")).alias("c"), F.xxhash64("rep", F.lit(step)).alias("h"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("label").alias("label"))
-            # a later round takes its centre from another component than the one with the smallest label
-            if step:
-                low = g.groupBy("x").agg(F.min("label").alias("low"))
-                centre = g.join(low, "x").where("label != low").groupBy("x").agg(F.min(rank).alias("c"))
-            else:
-                centre = g.groupBy("x").agg(F.min(rank).alias("c"))
-            pairs = g.join(centre, "x").where(F.col("label") != F.col("c.label")).select(F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+            rank = F.struct(*([(-F.col("central")).alias("k")] if not step else []), F.xxhash64("rep", F.lit(step)).alias("h"), "rep", "n", "label")
+            centre = g.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(rank).alias("c")).where("lo != hi").select("x", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.label").alias("la"))
+            pairs = g.join(centre, "x").where(F.col("label") != F.col("la")).select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")).where(near)
+            # each member meets the centre that it shares most with
+            pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c")).groupBy("b", "nb").agg(F.max(F.struct("c", "a", "na")).alias("m")).select("b", "nb", "m.a", "m.na")
         else:
-            h = g.select("x", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            pairs = h.join(g, "x").where((F.col("a") < F.col("rep")) & (F.col("la") != F.col("label"))).select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb"))
-        near = (F.col("na") >= need(F.col("nb"))) & (F.col("nb") >= need(F.col("na")))
-        pairs = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        side = lambda k: sets.select(F.col("rep").alias(k), *[F.col(c).alias(c + k) for c in ("n", "p2", "p3", "tokens")])
+            open_ = g.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("x")
+            g = g.join(open_, "x")
+            left = g.select("x", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+            pairs = left.join(g.select("x", F.col("rep").alias("b"), F.col("n").alias("nb"), "label"), "x").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("label"))).where(near)
+            # the long prefixes of linked sets share as many elements as is sure for the smaller
+            pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(sure(need(F.col("nb"))), sure(need(F.col("na")))))
+        pairs = stored(pairs.select("a", "na", "b", "nb"), "pairs")
+        side = lambda k: sets.select(F.col("rep").alias(k), *[F.col(c).alias(c + k) for c in ("p2", "p3", "tokens")])
         j = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b"))
         both = F.size(F.array_intersect("tokensa", "tokensb")).cast("long")
         new = stored(j.where(both * t.denominator >= (F.col("na") + F.col("nb") - both) * t.numerator).select("a", "b"), "links")
-        fresh = not new.isEmpty()
-        if fresh:
+        release(d.sparkSession)
+        if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             labels = stored(components(found).select(F.col("node").alias("rep"), "component"), "labels")
     return labels if labels is not None else d.sparkSession.createDataFrame([], "rep long, component long")
@@ -142,16 +147,23 @@ def links(d: DataFrame, t: Fraction) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float | str = "0.8") -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id that links of at least threshold reach, itself included."""
     t = Fraction(str(threshold))
-    sets = stored(sets_of(docs, words, t), "sets")
-    left = stored(candidates_left(sets, t), "left")
-    bits = bit_set(left, "rep")
-    whole = sets_of(docs, words, t, bits, whole=True).where("doc_id is not null and n > 0")
+    long = stored(sets_of(docs, words, t), "sets")
+    left = stored(candidates_left(long, t), "left")
+    sets = stored(long.select("doc_id", "n", "fa", "fb"), "classes")
+    drop_stored(long)
+    del long
+    release(docs.sparkSession)
+    whole = sets_of(docs, words, t, bit_set(left, "rep"), whole=True).where("doc_id is not null and n > 0")
     key = sets.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
-    d = whole.join(left.select("rep", "central"), F.col("doc_id") == F.col("rep")).join(key.select(F.col("rep").alias("_r"), F.col("fa").alias("_a"), F.col("fb").alias("_b")), (F.col("rep") == F.col("_r")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
-    d = stored(d.select("rep", "n", "central", "p1", "p2", "p3", "tokens").dropDuplicates(["rep"]), "whole")
+    # the class decides, not the id alone: rows of one id may have different texts
+    mine = left.select("rep", "central").join(key.select("rep", F.col("fa").alias("_a"), F.col("fb").alias("_b")), "rep")
+    d = whole.join(mine, (F.col("doc_id") == F.col("rep")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
+    one = F.row_number().over(W.partitionBy("rep").orderBy("fa"))
+    d = stored(d.select("rep", "n", "central", "p1", "p2", "p3", "tokens", "fa").withColumn("_r", one).where("_r = 1").drop("_r", "fa"), "whole")
+    release(docs.sparkSession)
     labels = links(d, t)
     named = key.join(labels, "rep", "left").select(F.col("fa").alias("_a"), F.col("fb").alias("_b"), F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "n", "fa", "fb").join(named, (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")) & (F.col("n") > 0), "left")
+    out = sets.join(named, (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")) & (F.col("n") > 0), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
 

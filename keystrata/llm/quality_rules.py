@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import WORD, let
+from keystrata.llm.common import WORD, let, stored
 
 #: At most this many labelled rows, those of least hash, are used to learn.
 SAMPLE = 4_000
@@ -149,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("_q"))
     ids = ids.orderBy(F.xxhash64("_id"), "_id", "_q").limit(sample)
     known = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").alias("_t")).join(F.broadcast(ids), F.col("_d") == F.col("_id"))
+    known = stored(known, "sample")  # else the filter on statistics would be computed below the join, for all rows
     stats = with_stats(known, "_t").where(~base_failed())
     rows = stats.select("_id", (F.col("_q") > 0).alias("good"), *[c.alias(k) for k, c in features().items()]).collect()
     return learn([r.asDict() for r in sorted(rows, key=lambda r: tuple(r))])
