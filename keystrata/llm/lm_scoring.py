@@ -155,7 +155,7 @@ def windows(docs: list[np.ndarray], most: int, size: int) -> Iterator[tuple[np.n
         yield s, d, f, live
 
 
-def score_docs(m: Model, docs: list[np.ndarray], most: int = 256, size: int = 64) -> np.ndarray:
+def score_docs(m: Model, docs: list[np.ndarray], most: int = 384, size: int = 32) -> np.ndarray:
     """Natural log probability of each document's symbols, its state carried from its first symbol to its last."""
     out = np.zeros(len(docs))
     if not docs:
@@ -224,20 +224,26 @@ class Trainer:
         dh_out = np.zeros((size * n, HIDDEN), np.float32)
         dh_out[at] = dx
         dh_out = dh_out.reshape(size, n, HIDDEN)
+        before, z, r, gn, c = (np.stack(x) for x in zip(*held, strict=True))
+        # what doesn't depend on later steps, for the whole window at once
+        slope = (1 - z) * (1 - c * c)
+        gate, reset = (before - c) * z * (1 - z), gn * r * (1 - r)
         dpx, dg = np.empty_like(px), np.empty_like(px)
-        dh = np.zeros((n, HIDDEN), np.float32)
+        dh, ut, back = np.zeros((n, HIDDEN), np.float32), np.ascontiguousarray(m.u.T), f.any(1)
         for t in range(size - 1, -1, -1):
-            before, z, r, gn, c = held[t]
             dh += dh_out[t]
-            dc_ = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc_ * gn * r * (1 - r)
-            dpx[t, :, :HIDDEN], dpx[t, :, HIDDEN : 2 * HIDDEN], dpx[t, :, 2 * HIDDEN :] = dz, dr, dc_
-            dg[t, :, : 2 * HIDDEN], dg[t, :, 2 * HIDDEN :] = dpx[t, :, : 2 * HIDDEN], dc_ * r
-            dh = dh * z + dg[t] @ m.u.T
-            if f[t].any():
+            p, q = dpx[t], dg[t]
+            d = dh * slope[t]
+            p[:, 2 * HIDDEN :] = d
+            np.multiply(dh, gate[t], out=q[:, :HIDDEN])
+            np.multiply(d, reset[t], out=q[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(d, r[t], out=q[:, 2 * HIDDEN :])
+            dh *= z[t]
+            dh += q @ ut
+            if back[t]:
                 dh[f[t]] = 0
-        du = np.concatenate([x[0] for x in held]).T @ dg.reshape(-1, 3 * HIDDEN)
+        dpx[:, :, : 2 * HIDDEN] = dg[:, :, : 2 * HIDDEN]
+        du = before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
         order = np.argsort(given.ravel(), kind="stable")
         sym = given.ravel()[order]
         cut = np.flatnonzero(np.concatenate([[True], sym[1:] != sym[:-1]]))
@@ -316,6 +322,18 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(run, "h long, k byte, c long").groupBy("h", "k").agg(F.sum("c").alias("c"))
 
 
+def most_common(counts: DataFrame) -> list:
+    """The most frequent tokens, at most COMMON: the cut is read off a histogram of the counts' logarithms, of 1,000 bins or fewer."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    bins = sorted(((r["b"], r["n"]) for r in counts.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    cut, held = bins[0][0] if bins else 0, 0
+    for b, n in bins:
+        if held and held + n > COMMON:
+            break
+        cut, held = b, held + n
+    return counts.where(level >= cut).orderBy(F.desc("c"), "h").limit(COMMON).collect() if held > COMMON else counts.where(level >= cut).collect()
+
+
 class Vocabulary:
     """The COMMON most frequent tokens by hash, their counts, and the model's symbols."""
 
@@ -370,7 +388,7 @@ def score(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
     learn_from = d.where(~is_held_out())
     counts = stored(count_words(learn_from), "counts")
-    top = counts.orderBy(F.desc("c"), "h").limit(COMMON).collect()
+    top = most_common(counts)
     words = Vocabulary(top)
     sums = counts.groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     total, kinds = sum(r["c"] for r in sums), sum(r["v"] for r in sums)
