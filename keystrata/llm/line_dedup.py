@@ -32,7 +32,7 @@ from keystrata.llm.text_hash import fmix, powers
 
 #: Production parameters: characters a line needs to take part, and edits allowed.
 LEAST, THRESHOLD = 24, 2
-HOT = 48
+HOT = 12
 _ODD = 0xD6E8FEB86659FD93
 _INV = pow(_ODD, -1, 1 << 64)
 _CHUNK = 1 << 20
