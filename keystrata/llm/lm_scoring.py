@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from keystrata.llm.common import stored
 from keystrata.llm.text_hash import CHUNK, hash_bytes, pieces
 
-HEAD, CLASSES, HIDDEN, WINDOW, STRIDE, COMMON = 1024, 32, 16, 16, 3, 1 << 16
+HEAD, CLASSES, HIDDEN, WINDOW, STRIDE, COMMON = 1024, 32, 12, 16, 3, 1 << 16
 TAILS = 8
 OWN = HEAD // CLASSES
 SYMBOLS = HEAD + TAILS
@@ -146,13 +146,18 @@ def windows(docs: list[np.ndarray], most: int, size: int) -> Iterator[tuple[np.n
     who = [np.repeat(x, lengths[x]) for x in ls]
     first = [np.concatenate([[1], np.diff(w) != 0]).astype(bool) for w in who]
     total = np.array([len(f) for f in flow])
-    for at in range(0, int(total[0]), size):
-        live = int((total > at).sum())
-        s, d, f = np.zeros((size, live), np.int32), np.full((size, live), -1, np.int32), np.zeros((size, live), bool)
+    stretch = 32 * size  # laid out for many windows at once
+    for begin in range(0, int(total[0]), stretch):
+        live = int((total > begin).sum())
+        rows = min(stretch, -(-(int(total[0]) - begin) // size) * size)
+        s, d, f = np.zeros((live, rows), np.int32), np.full((live, rows), -1, np.int32), np.zeros((live, rows), bool)
         for i in range(live):
-            n = min(size, total[i] - at)
-            s[:n, i], d[:n, i], f[:n, i] = flow[i][at : at + n], who[i][at : at + n], first[i][at : at + n]
-        yield s, d, f, live
+            n = min(rows, total[i] - begin)
+            s[i, :n], d[i, :n], f[i, :n] = flow[i][begin : begin + n], who[i][begin : begin + n], first[i][begin : begin + n]
+        s, d, f = (np.ascontiguousarray(x.T) for x in (s, d, f))
+        for at in range(0, rows, size):
+            k = int((total > begin + at).sum())
+            yield s[at : at + size, :k], d[at : at + size, :k], f[at : at + size, :k], k
 
 
 def score_docs(m: Model, docs: list[np.ndarray], most: int = 384, size: int = 32) -> np.ndarray:
@@ -260,7 +265,8 @@ class Trainer:
         if not docs:
             return
         tokens = sum(map(len, docs))
-        most = int(min(512, max(16, tokens // (WINDOW * 300))))
+        steps = 300 if self.seen < 1 << 20 else 100  # many small updates first, then fewer of more documents
+        most = int(min(512, max(16, tokens // (WINDOW * steps))))
         h = prev = None
         for s, d, f, live in windows(docs, most, WINDOW):
             h = np.zeros((live, HIDDEN), np.float32) if h is None else h[:live]
