@@ -167,7 +167,7 @@ def _entries(src: DataFrame, threshold: int, least: int) -> DataFrame:
                     if x not in seen:
                         seen.add(x)
                         fresh.append(i)
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 if fresh:
                     own = [lines[i] for i in fresh]
@@ -200,7 +200,7 @@ def _wanted(src: DataFrame, least: int, bits: bytes) -> DataFrame:
                 hit = np.flatnonzero((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 hit = [i for i in hit if h[i] not in seen]
                 seen.update(h[hit].tolist())
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 if hit:
                     yield pd.DataFrame({"h": h[hit], "x": [lines[i] for i in hit]}).drop_duplicates("h")

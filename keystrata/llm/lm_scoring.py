@@ -413,17 +413,15 @@ def score(docs: DataFrame) -> DataFrame:
     base_log = math.log10(total + ALPHA * (kinds + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model.unflat(model)
+        m, frames, held = Model.unflat(model), [], []
         for b in batches:
-            at, held = 0, []
-            for c, h, k in _texts(b):
-                held.append((c, h, k))
-                if sum(len(x[1]) for x in held) >= 1 << 20:
-                    yield part(b.iloc[at : at + sum(len(x[0]) for x in held)], m, held)
-                    at += sum(len(x[0]) for x in held)
-                    held = []
-            if held:
-                yield part(b.iloc[at:], m, held)
+            held += _texts(b)
+            frames.append(b[["doc_id", "th"]])
+            if sum(len(x[1]) for x in held) >= 1 << 20:  # enough for full lanes
+                yield part(pd.concat(frames), m, held)
+                frames, held = [], []
+        if held:
+            yield part(pd.concat(frames), m, held)
 
     def part(b: pd.DataFrame, m: Model, held: list) -> pd.DataFrame:
         n = np.concatenate([x[0] for x in held])

@@ -46,14 +46,18 @@ def encoder(path: str):
 
     The file's own vocabulary is run by the faster of two engines that give the same ids; the file's own library takes
     texts that spell one of its special tokens, and files that are not plain byte-level BPE."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import tokenizers
-
-    own = tokenizers.Tokenizer.from_file(path)
-    slow = lambda t: np.array(own.encode(t, add_special_tokens=False).ids, np.uint32)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     added = [x["content"] for x in spec.get("added_tokens", [])]
+
+    @cache
+    def own():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(path)
+
+    slow = lambda t: np.array(own().encode(t, add_special_tokens=False).ids, np.uint32)
     pre = spec.get("pre_tokenizer") or {}
     if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
         return slow
@@ -61,6 +65,7 @@ def encoder(path: str):
 
     letters = _byte_letters()
     ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+    del spec
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return lambda t: slow(t) if any(a in t for a in added) else np.asarray(fast.encode_to_numpy(t, allowed_special=set(), disallowed_special=()), np.uint32)
