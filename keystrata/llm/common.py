@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 1,000 rows and 8 MB: rows are whole texts, and two workers share an executor's memory."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = spark.conf.get(key, "0")
+        now = spark.conf.get(key).rstrip("bB")  # the default where it is unset
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
