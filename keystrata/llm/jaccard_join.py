@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.common import BITS, bit_set, drop_stored, release, stored
 from keystrata.llm.graph import components
-from keystrata.llm.text_hash import fmix, shingles, word_hashes
+from keystrata.llm.text_hash import fmix, give_back, shingles, word_hashes
 
 ROUNDS = 2
 #: The part of a set by which the first prefix is longer than needed, so that several elements must be shared.
@@ -74,11 +74,12 @@ def sets_of(docs: DataFrame, words: int, t: Fraction, only: bytes | None = None,
                         cut = n - _need(n, t) + 1
                         row += [s.view(np.int64), *[np.sort(np.partition(o, cut - 1)[:cut]).view(np.int64) for o in (fmix(s ^ x) for x in _SEEDS)]]
                     rows.append(row)
-                    if len(rows) >= 2000:
+                    if len(rows) >= 500:
                         yield frame(rows)
                         rows = []
             if rows:
                 yield frame(rows)
+        give_back()
 
     names = ["doc_id", "n", "fa", "fb", "p1"] + (["tokens", "p2", "p3"] if whole else [])
 

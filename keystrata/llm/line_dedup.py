@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import BITS, bit_set, let, stored
-from keystrata.llm.text_hash import fmix, powers
+from keystrata.llm.text_hash import fmix, give_back, powers
 
 #: Production parameters: characters a line needs to take part, and edits allowed.
 LEAST, THRESHOLD = 24, 2
 HOT = 12
 _ODD = 0xD6E8FEB86659FD93
 _INV = pow(_ODD, -1, 1 << 64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _U = np.uint64
 
 
@@ -173,6 +173,7 @@ def _entries(src: DataFrame, threshold: int, least: int) -> DataFrame:
                     own = [lines[i] for i in fresh]
                     row, key, probe = keys_of(own, threshold, least)
                     yield pd.DataFrame({"key": key, "h": h[fresh].view(np.int64)[row], "probe": probe, "n": np.array([len(x) for x in own], np.int32)[row]})
+        give_back()
 
     return src.mapInPandas(run, "key long, h long, probe boolean, n int")
 
@@ -184,6 +185,7 @@ def _places(src: DataFrame, least: int) -> DataFrame:
         for b in batches:
             for place, lines in _batches(b, least):
                 yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(p[0]) else int(p[0]) for p in place], "Int64"), "th": [p[1] for p in place], "line": np.array([p[2] for p in place], np.int32), "h": line_hashes(lines).view(np.int64)})
+        give_back()
 
     return src.mapInPandas(run, "doc_id long, th long, line int, h long")
 
@@ -204,6 +206,7 @@ def _wanted(src: DataFrame, least: int, bits: bytes) -> DataFrame:
                     seen.clear()
                 if hit:
                     yield pd.DataFrame({"h": h[hit], "x": [lines[i] for i in hit]}).drop_duplicates("h")
+        give_back()
 
     return src.mapInPandas(run, "h long, x string")
 

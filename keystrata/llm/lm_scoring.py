@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import stored
-from keystrata.llm.text_hash import CHUNK, hash_bytes, pieces
+from keystrata.llm.text_hash import CHUNK, give_back, hash_bytes, pieces
 
 HEAD, CLASSES, HIDDEN, WINDOW, STRIDE, COMMON = 1024, 32, 12, 16, 3, 1 << 16
 TAILS = 8
@@ -377,6 +377,8 @@ def train(docs: DataFrame, words: Vocabulary, first: Model) -> Model:
         t.learn(held)
         if t.seen:
             v = t.m.flat().astype(np.float64) * t.seen
+            del held
+            give_back()
             yield pd.DataFrame({"i": np.arange(len(v) + 1, dtype=np.int32), "v": np.append(v, t.seen)})
 
     sums = docs.select("text").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
@@ -422,6 +424,7 @@ def score(docs: DataFrame) -> DataFrame:
                 frames, held = [], []
         if held:
             yield part(pd.concat(frames), m, held)
+        give_back()
 
     def part(b: pd.DataFrame, m: Model, held: list) -> pd.DataFrame:
         n = np.concatenate([x[0] for x in held])

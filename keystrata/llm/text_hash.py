@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0x9E3779B97F4A7C15
@@ -14,6 +17,7 @@ _INV = pow(_ODD, -1, 1 << 64)
 _T = np.random.Generator(np.random.PCG64(20240611)).integers(0, 1 << 64, 256, np.uint64)
 _LOW = _T.copy()
 _LOW[65:91] = _T[97:123]
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 _cache: dict[int, np.ndarray] = {}
 
 
@@ -21,15 +25,22 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     got = _cache.get(base)
     if got is None or len(got) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, 2 * CHUNK + 2)
         got = np.full(size, base, np.uint64)
         got[0] = 1
         got = np.multiply.accumulate(got)
-        if n <= 4 * CHUNK:
+        if n <= 2 * CHUNK + 2:
             _cache[base] = got
     return got[:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept between tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def fmix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit values."""
     h = h ^ (h >> np.uint64(33))
@@ -70,7 +81,7 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
         j, parts, size = i, [], 0
         while j < len(texts) and (size < CHUNK or j == i):
             b = (texts[j] or "").encode("utf-8", "surrogatepass")
-            if parts and size + len(b) > 2 * CHUNK:
+            if parts and size + len(b) > 2 * CHUNK - len(parts):
                 break
             parts.append(b)
             size += len(b) + 1
