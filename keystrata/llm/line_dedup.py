@@ -32,7 +32,7 @@ from keystrata.llm.text_hash import fmix, give_back, powers
 
 #: Production parameters: characters a line needs to take part, and edits allowed.
 LEAST, THRESHOLD = 24, 2
-HOT = 12
+HOT = 16
 _ODD = 0xD6E8FEB86659FD93
 _INV = pow(_ODD, -1, 1 << 64)
 _CHUNK = 1 << 19
@@ -254,8 +254,8 @@ def near_pairs(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     plain = stored(cold, "pairs")
     bits = bit_set(plain.select(F.explode(F.array("a", "b")).alias("h")).unionByName(in_hot.select("h")), "h")
     text = stored(_wanted(src, least, bits).dropDuplicates(["h"]), "lines")
-    split = _split_keys(in_hot.join(text, "h").select("key", "h", "probe", "n", "x"), threshold)
-    pairs = plain.unionByName(_pairs(split)).distinct()
+    split = stored(_split_keys(in_hot.join(text, "h").select("key", "h", "probe", "n", "x"), threshold), "split")
+    pairs = stored(plain.unionByName(_pairs(split)).distinct(), "all-pairs")
     j = pairs.join(text.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a").join(text.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -133,7 +133,7 @@ def brute_lines(rows, least, k):
     return gone
 
 
-@pytest.mark.parametrize("hot", [12, 2])
+@pytest.mark.parametrize("hot", [16, 2])
 def test_line_dedup(spark, hot, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     rng = random.Random(9)
