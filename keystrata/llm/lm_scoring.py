@@ -349,13 +349,22 @@ class Vocabulary:
         rank = np.argsort(h)
         self.hashes, self.counts = h[rank], np.array([r["c"] for r in rows], np.int64)[rank]
         self.symbol = np.where(rank < HEAD, rank, -1).astype(np.int32)
+        # a table by the hash's upper bits; slots with several tokens are looked up in order
+        slot = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.table, self.crowded = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, bool)
+        self.table[slot] = np.arange(len(slot))
+        self.crowded[slot[1:][slot[1:] == slot[:-1]]] = True
 
     def look_up(self, h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbol, count or -1 if not common)."""
         if not len(self.hashes):
             return HEAD + k.astype(np.int32), np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        slot = (h >> np.uint64(44)).astype(np.int64)
+        at = self.table[slot]
         hit = self.hashes[at] == h
+        again = np.flatnonzero(self.crowded[slot] & ~hit)
+        at[again] = np.minimum(np.searchsorted(self.hashes, h[again]), len(self.hashes) - 1)
+        hit[again] = self.hashes[at[again]] == h[again]
         s = np.where(hit, self.symbol[at], -1)
         return np.where(s >= 0, s, HEAD + k).astype(np.int32), np.where(hit, self.counts[at], -1)
 
