@@ -12,6 +12,8 @@ order of elements their prefixes share some. Three orders are used: the hash its
  3. Links merge classes into components. Groups that still hold several components take their next member as centre. After
     ROUNDS of that, all pairs of different components that share as many elements of the first prefix as any linked pair
     must are compared, so no link that joins two components is lost.
+ 4. Where an element of that last round stands in more than HOT classes, its pairs come from hot_pairs instead: classes are
+    taken by their difference from what most of the group holds, and must share a rare part of it.
 
 Sets are hashed with 64 bits and classes with 128.
 
@@ -36,6 +38,8 @@ from keystrata.llm.graph import components
 from keystrata.llm.text_hash import fmix, give_back, shingles, word_hashes
 
 ROUNDS = 2
+#: Groups of more classes than this are joined by differences; both ways find the same links.
+HOT = 16
 #: The part of a set by which the first prefix is longer than needed, so that several elements must be shared.
 EXTRA = Fraction(1, 20)
 _SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
@@ -108,6 +112,39 @@ def shared_only(e: DataFrame) -> DataFrame:
     return r.join(two, "x")
 
 
+def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b) of all classes in one group c of members (c, rep, n, label) that may link and differ in label.
+
+    R is the set of elements that over half of a group hold, d(A) = A xor R. A and B link if and only if |A xor B| <=
+    k (|A| + |B|) with k = (1 - t) / (1 + t). Let s(A) = |d(A)| - k |A|, and M the member of least s.
+     - If s(A) + s(B) <= 0, so are s(M) + s(A) and s(M) + s(B): both link with M, as |M xor A| <= |d(M)| + |d(A)|. So the
+       pairs (M, B) with s(M) + s(B) <= 0 suffice for these.
+     - Else d(A) and d(B) share o >= (s(A) + s(B)) / 2 elements. Let s(B) <= s(A); A isn't among the above, so s(A) > -s(M)
+       too. Of the elements of d(B) that stand in other differences, by growing number of those, all but the last o - 1
+       hold a shared one.
+    s is counted in units of 1 / (1 + t), scaled to integers."""
+    up, down = t.denominator - t.numerator, t.denominator + t.numerator
+    size = members.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    held = members.select("c", "rep").join(sets, "rep").select("c", F.explode("tokens").alias("e")).groupBy("c", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    most = stored(held.join(size, "c").where("2 * f > size").groupBy("c").agg(F.collect_list("e").alias("r")), "most")
+    r = F.coalesce("r", F.array().cast("array<bigint>"))
+    d = members.join(sets, "rep").join(most, "c", "left").select("c", "rep", "n", "label", F.concat(F.array_except("tokens", r), F.array_except(r, "tokens")).alias("d"))
+    d = stored(d.select("*", F.size("d").cast("long").alias("nd"), (F.size("d") * F.lit(down) - F.col("n") * up).alias("s")), "differences")
+    least = d.groupBy("c").agg(F.min(F.struct("s", "rep", "n", "label")).alias("m"))
+    star = d.join(least, "c").where((F.col("s") + F.col("m.s") <= 0) & (F.col("label") != F.col("m.label"))).select(F.col("m.rep").alias("a"), F.col("m.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    e = d.select("c", "rep", F.explode("d").alias("e"))
+    common = e.groupBy("c", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    e = e.join(common, ["c", "e"]).groupBy("c", "rep").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("k"))
+    e = stored(e.join(d.drop("d"), ["c", "rep"]).join(least.select("c", F.col("m.s").alias("ms")), "c"), "shared")
+    o = F.greatest(F.ceil((F.greatest(F.col("s"), 1 - F.col("ms")) + F.col("s")) / F.lit(2 * down) - 1e-9), F.lit(1))
+    first = F.greatest((F.size("k") - o + 1).cast("int"), F.lit(0))
+    index = e.select("c", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("label").alias("lb"), F.explode(F.slice("k", F.lit(1), first)).alias("k")).select("*", F.col("k.e").alias("e")).drop("k")
+    probe = e.where("s > -ms").select("c", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la"), F.explode("k").alias("k")).select("*", F.col("k.e").alias("e")).drop("k")
+    near = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
+    found = index.join(probe, ["c", "e"]).where((F.col("la") != F.col("lb")) & ((F.col("sb") < F.col("sa")) | (F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a"))) & near)
+    return star.unionByName(found.select("a", "na", "b", "nb")).distinct()
+
+
 def links(d: DataFrame, t: Fraction) -> DataFrame:
     """Merge the classes of d (rep, n, central, p1, p2, p3, tokens): (rep, component) of those that link."""
     need = lambda n: F.ceil(n * F.lit(t.numerator) / F.lit(t.denominator) - 1e-9)
@@ -127,12 +164,18 @@ def links(d: DataFrame, t: Fraction) -> DataFrame:
             # each member meets the centre that it shares most with
             pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c")).groupBy("b", "nb").agg(F.max(F.struct("c", "a", "na")).alias("m")).select("b", "nb", "m.a", "m.na")
         else:
-            open_ = g.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("x")
-            g = g.join(open_, "x")
+            first = F.min(F.struct((-F.col("central")).alias("k"), F.xxhash64("rep").alias("h"), "rep")).alias("c")
+            open_ = g.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), first).where("lo != hi").select("x", "size", F.col("c.rep").alias("c"))
+            open_ = stored(g.join(open_, "x"), "open")
+            # a pair without a hot element has all its shared ones here
+            members = stored(open_.where(F.col("size") > HOT).select("c", "rep", "n", "label").distinct(), "members")
+            g = open_.where(F.col("size") <= HOT)
             left = g.select("x", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
             pairs = left.join(g.select("x", F.col("rep").alias("b"), F.col("n").alias("nb"), "label"), "x").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("label"))).where(near)
             # the long prefixes of linked sets share as many elements as is sure for the smaller
-            pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(sure(need(F.col("nb"))), sure(need(F.col("na")))))
+            pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(sure(need(F.col("nb"))), sure(need(F.col("na"))))).drop("c")
+            if not members.isEmpty():
+                pairs = pairs.unionByName(hot_pairs(members, sets.select("rep", "tokens"), t)).distinct()
         pairs = stored(pairs.select("a", "na", "b", "nb"), "pairs")
         side = lambda k: sets.select(F.col("rep").alias(k), *[F.col(c).alias(c + k) for c in ("p2", "p3", "tokens")])
         j = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b"))

@@ -71,6 +71,26 @@ def test_jaccard_components(spark, seed, words, t, ratio):
     assert sorted(map(tuple, got)) == brute_components(rows, words, *ratio)
 
 
+@pytest.mark.parametrize(("seed", "rounds", "hot"), [(5, 0, 1), (6, 0, 6), (7, 1, 1), (8, 2, 16)])
+def test_jaccard_hot_groups(spark, monkeypatch, seed, rounds, hot):
+    """Variants of one text around the threshold, texts around one passage, and both at once."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(4000)}"
+    base, passage = [word() for _ in range(70)], [word() for _ in range(40)]
+    rows = []
+    for i in range(150):
+        x = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            k = rng.randrange(len(x))
+            x[k : k + rng.randrange(2)] = [word()] * rng.randrange(2)
+        rows.append((i, " ".join((passage if i % 3 == 0 else []) + x if i % 5 else passage + [word() for _ in range(rng.randrange(5, 40))])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.near_duplicates(d, 4, "0.85").collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 4, 85, 100)
+
+
 def test_jaccard_edges(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e F")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(d).collect()), key=str)
