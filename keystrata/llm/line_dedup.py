@@ -7,7 +7,8 @@ Each distinct line is split into threshold + 1 even segments; two lines within t
 that differs by few characters. Index entries are (length, segment number, segment hash). A line probes, for its own and each
 shorter length in reach, just those substrings that the multi-match-aware bound admits. Segment keys with more than HOT index
 entries are split by 15 more keys each: six groups of characters are counted, two edits change four counts at
-most, so some two groups of counts agree (for other thresholds, one of 2 * threshold + 1 groups). Candidates are verified by a
+most, so some two groups of counts agree (for other thresholds, one of 2 * threshold + 1 groups); a pair is
+taken under the first two that do. Candidates are verified by a
 banded bit-parallel edit distance.
 
 Keys and lines are compared by 64-bit hashes; every near pair is verified on the lines themselves.
@@ -24,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import BITS, bit_set, let, stored
@@ -211,10 +212,15 @@ def _wanted(src: DataFrame, least: int, bits: bytes) -> DataFrame:
     return src.mapInPandas(run, "h long, x string")
 
 
-def _split_keys(hot: DataFrame, threshold: int) -> DataFrame:
-    """(key, h, probe, n) for rows (key, h, probe, n, x): a key for each two of the groups of character counts."""
+def _choices(threshold: int) -> tuple[int, int, list[tuple[int, ...]]]:
+    """Groups of characters, bits for the digest of a group's counts, and the sets of groups that get a key."""
     groups = 6 if threshold == 2 else 2 * threshold + 1
-    sets = list(combinations(range(groups), 2 if threshold == 2 else 1))
+    return groups, min(10, 60 // groups), list(combinations(range(groups), 2 if threshold == 2 else 1))
+
+
+def _split_keys(hot: DataFrame, threshold: int) -> DataFrame:
+    """(key, h, probe, n, j, g) for rows (key, h, probe, n, x): a key for each set j of groups; g holds all groups' digests."""
+    groups, bits, sets = _choices(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -227,21 +233,37 @@ def _split_keys(hot: DataFrame, threshold: int) -> DataFrame:
                 v, g = fmix(cp + _U(991)), cp % _U(groups)
                 for k in range(groups):
                     sums[i, k] = v[g == k].sum()
+            sums = fmix(sums) >> _U(64 - bits)
+            packed = np.bitwise_or.reduce(sums << (np.arange(groups, dtype=np.uint64) * _U(bits)), axis=1).view(np.int64)
             key = b["key"].to_numpy().view(np.uint64)
             for j, s in enumerate(sets):
                 new = key + _U(j + 1)
                 for k in s:
                     new = fmix(new ^ sums[:, k])
-                yield pd.DataFrame({"key": new.view(np.int64), "h": b["h"], "probe": b["probe"], "n": b["n"]})
+                yield pd.DataFrame({"key": new.view(np.int64), "h": b["h"], "probe": b["probe"], "n": b["n"], "j": np.int32(j), "g": packed})
+
+    return hot.mapInPandas(run, "key long, h long, probe boolean, n int, j int, g long")
+
+
+def _first_choice(threshold: int) -> Column:
+    """The first set of groups whose digests agree in ga and gb."""
+    _, bits, sets = _choices(threshold)
+    differ = F.col("ga").bitwiseXOR(F.col("gb"))
+    masks = [sum((1 << bits) - 1 << bits * k for k in s) for s in sets]
+    return F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(j)) for j, m in enumerate(masks)])
 
-    return hot.mapInPandas(run, "key long, h long, probe boolean, n int")
 
+def _pairs(e: DataFrame, threshold: int | None = None) -> DataFrame:
+    """(a, b) of lines that meet under a key, a being the shorter or, among equals, the one of lesser hash.
 
-def _pairs(e: DataFrame) -> DataFrame:
-    """(a, b) of lines that meet under a key, a being the shorter or, among equals, the one of lesser hash."""
-    left = e.where("not probe").select("key", F.col("h").alias("a"), F.col("n").alias("na"))
-    right = e.where("probe").select("key", F.col("h").alias("b"), F.col("n").alias("nb"))
-    return left.join(right, "key").where("na < nb or na = nb and a < b").select("a", "b").distinct()
+    With a threshold e has split keys, and lines meet under the first set of groups in which they agree only."""
+    more = [] if threshold is None else ["j", "g"]
+    left = e.where("not probe").select("key", F.col("h").alias("a"), F.col("n").alias("na"), *[F.col(x).alias(x + "a") for x in more])
+    right = e.where("probe").select("key", F.col("h").alias("b"), F.col("n").alias("nb"), *[F.col(x).alias(x + "b") for x in more])
+    on = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    if threshold is not None:
+        on &= (F.col("ja") == F.col("jb")) & (F.col("ja") == _first_choice(threshold))
+    return left.join(right, "key").where(on).select("a", "b").distinct()
 
 
 def near_pairs(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
@@ -255,7 +277,7 @@ def near_pairs(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     bits = bit_set(plain.select(F.explode(F.array("a", "b")).alias("h")).unionByName(in_hot.select("h")), "h")
     text = stored(_wanted(src, least, bits).dropDuplicates(["h"]), "lines")
     split = stored(_split_keys(in_hot.join(text, "h").select("key", "h", "probe", "n", "x"), threshold), "split")
-    pairs = stored(plain.unionByName(_pairs(split)).distinct(), "all-pairs")
+    pairs = stored(plain.unionByName(_pairs(split, threshold)).distinct(), "all-pairs")
     j = pairs.join(text.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a").join(text.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
