@@ -40,6 +40,8 @@ from keystrata.llm.text_hash import fmix, give_back, shingles, word_hashes
 ROUNDS = 2
 #: Groups of more classes than this are joined by differences; both ways find the same links.
 HOT = 16
+#: How often classes that share a hot part of their differences become groups of their own.
+DEPTH = 3
 #: The part of a set by which the first prefix is longer than needed, so that several elements must be shared.
 EXTRA = Fraction(1, 20)
 _SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
@@ -112,7 +114,7 @@ def shared_only(e: DataFrame) -> DataFrame:
     return r.join(two, "x")
 
 
-def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEPTH) -> DataFrame:
     """(a, b) of all classes in one group c of members (c, rep, n, label) that may link and differ in label.
 
     R is the set of elements that over half of a group hold, d(A) = A xor R. A and B link if and only if |A xor B| <=
@@ -121,7 +123,8 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
        pairs (M, B) with s(M) + s(B) <= 0 suffice for these.
      - Else d(A) and d(B) share o >= (s(A) + s(B)) / 2 elements. Let s(B) <= s(A); A isn't among the above, so s(A) > -s(M)
        too. Of the elements of d(B) that stand in other differences, by growing number of those, all but the last o - 1
-       hold a shared one.
+       hold a shared one. Where more than HOT classes meet in one, they are a group again, DEPTH times at most: a text with
+       many variants, inside a larger group around a passage that all of them quote, then has an R of its own.
     s is counted in units of 1 / (1 + t), scaled to integers."""
     up, down = t.denominator - t.numerator, t.denominator + t.numerator
     size = members.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
@@ -138,11 +141,19 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     e = stored(e.join(d.drop("d"), ["c", "rep"]).join(least.select("c", F.col("m.s").alias("ms")), "c"), "shared")
     o = F.greatest(F.ceil((F.greatest(F.col("s"), 1 - F.col("ms")) + F.col("s")) / F.lit(2 * down) - 1e-9), F.lit(1))
     first = F.greatest((F.size("k") - o + 1).cast("int"), F.lit(0))
-    index = e.select("c", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("label").alias("lb"), F.explode(F.slice("k", F.lit(1), first)).alias("k")).select("*", F.col("k.e").alias("e")).drop("k")
-    probe = e.where("s > -ms").select("c", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la"), F.explode("k").alias("k")).select("*", F.col("k.e").alias("e")).drop("k")
+    at = e.select("c", "rep", "n", "label", "s", (F.col("s") > -F.col("ms")).alias("probe"), first.alias("first"), F.posexplode("k").alias("i", "k"))
+    at = stored(at.select("c", F.col("k.e").alias("e"), "rep", "n", "label", "s", "probe", (F.col("i") < F.col("first")).alias("index")).where("probe or index"), "at")
+    key = at.groupBy("c", "e").agg(F.count(F.lit(1)).alias("size"), F.max("index").alias("i"), F.max("probe").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("leader"))
+    at = at.join(key.where("i and p and lo != hi").select("c", "e", "size", F.col("leader.rep").alias("leader")), ["c", "e"])
+    if depth:
+        again = stored(at.where(F.col("size") > HOT).select(F.col("leader").alias("c"), "rep", "n", "label").distinct(), "members")
+        at = at.where(F.col("size") <= HOT)
+        if not again.isEmpty():
+            star = star.unionByName(hot_pairs(again, sets, t, depth - 1))
+    index, probe = (at.where(x).select("c", "e", *[F.col(k).alias(k[0] + y) for k in ("rep", "n", "s", "label")]) for x, y in (("index", "b"), ("probe", "a")))
     near = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
-    found = index.join(probe, ["c", "e"]).where((F.col("la") != F.col("lb")) & ((F.col("sb") < F.col("sa")) | (F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a"))) & near)
-    return star.unionByName(found.select("a", "na", "b", "nb")).distinct()
+    found = index.join(probe, ["c", "e"]).where((F.col("la") != F.col("lb")) & ((F.col("sb") < F.col("sa")) | (F.col("sb") == F.col("sa")) & (F.col("rb") < F.col("ra"))) & near)
+    return stored(star.unionByName(found.select(F.col("ra").alias("a"), "na", F.col("rb").alias("b"), "nb")).distinct(), "hot-pairs")
 
 
 def links(d: DataFrame, t: Fraction) -> DataFrame:
