@@ -42,6 +42,8 @@ ROUNDS = 2
 HOT = 16
 #: How often classes that share a hot part of their differences become groups of their own.
 DEPTH = 3
+#: They do where comparing them at once takes more pairs a class than this.
+SPARE = 4 * HOT
 #: The part of a set by which the first prefix is longer than needed, so that several elements must be shared.
 EXTRA = Fraction(1, 20)
 _SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
@@ -123,7 +125,7 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEP
        pairs (M, B) with s(M) + s(B) <= 0 suffice for these.
      - Else d(A) and d(B) share o >= (s(A) + s(B)) / 2 elements. Let s(B) <= s(A); A isn't among the above, so s(A) > -s(M)
        too. Of the elements of d(B) that stand in other differences, by growing number of those, all but the last o - 1
-       hold a shared one. Where more than HOT classes meet in one, they are a group again, DEPTH times at most: a text with
+       hold a shared one. Where classes that meet in one make more than SPARE pairs each, they are a group again, DEPTH times at most: a text with
        many variants, inside a larger group around a passage that all of them quote, then has an R of its own.
     s is counted in units of 1 / (1 + t), scaled to integers."""
     up, down = t.denominator - t.numerator, t.denominator + t.numerator
@@ -143,11 +145,11 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEP
     first = F.greatest((F.size("k") - o + 1).cast("int"), F.lit(0))
     at = e.select("c", "rep", "n", "label", "s", (F.col("s") > -F.col("ms")).alias("probe"), first.alias("first"), F.posexplode("k").alias("i", "k"))
     at = stored(at.select("c", F.col("k.e").alias("e"), "rep", "n", "label", "s", "probe", (F.col("i") < F.col("first")).alias("index")).where("probe or index"), "at")
-    key = at.groupBy("c", "e").agg(F.count(F.lit(1)).alias("size"), F.max("index").alias("i"), F.max("probe").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("leader"))
-    at = at.join(key.where("i and p and lo != hi").select("c", "e", "size", F.col("leader.rep").alias("leader")), ["c", "e"])
+    key = at.groupBy("c", "e").agg(F.count(F.lit(1)).alias("size"), F.count_if("index").alias("i"), F.count_if("probe").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("leader"))
+    at = at.join(key.where("i > 0 and p > 0 and lo != hi").select("c", "e", (F.col("i") * F.col("p") > SPARE * F.col("size")).alias("hot"), F.col("leader.rep").alias("leader")), ["c", "e"])
     if depth:
-        again = stored(at.where(F.col("size") > HOT).select(F.col("leader").alias("c"), "rep", "n", "label").distinct(), "members")
-        at = at.where(F.col("size") <= HOT)
+        again = stored(at.where("hot").select(F.col("leader").alias("c"), "rep", "n", "label").distinct(), "members")
+        at = at.where("not hot")
         if not again.isEmpty():
             star = star.unionByName(hot_pairs(again, sets, t, depth - 1))
     index, probe = (at.where(x).select("c", "e", *[F.col(k).alias(k[0] + y) for k in ("rep", "n", "s", "label")]) for x, y in (("index", "b"), ("probe", "a")))

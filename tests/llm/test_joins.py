@@ -76,6 +76,7 @@ def test_jaccard_hot_groups(spark, monkeypatch, seed, rounds, hot):
     """Variants of one text around the threshold, texts around one passage, and both at once."""
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "SPARE", hot // 2)
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(4000)}"
     base, passage = [word() for _ in range(70)], [word() for _ in range(40)]
