@@ -29,7 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -158,6 +158,21 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEP
     return stored(star.unionByName(found.select(F.col("ra").alias("a"), "na", F.col("rb").alias("b"), "nb")).distinct(), "hot-pairs")
 
 
+def few_groups(hot: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
+    """(c, rep, n, label) of the groups c that a class stays in, and (rep, lost): its elements in those that it leaves.
+
+    hot has a row for each element x of a class that stands in more than HOT of them, with x's group c. Linked classes share
+    `least` elements of their long prefixes at least. Groups have one order, by the elements that a member has in them on
+    average; a class leaves the groups of its end of it that hold fewer than `least` of its elements together. Of two linked
+    classes let A be the one that leaves from the earlier place on: not all they share lies after it, so a group that both
+    stay in holds some, or an element that isn't hot does."""
+    w = stored(hot.groupBy("c", "rep", "n", "label").agg(F.count(F.lit(1)).alias("w")), "in-groups")
+    mean = w.groupBy("c").agg((F.sum("w") / F.count(F.lit(1))).alias("mean"))
+    after = F.sum("w").over(W.partitionBy("rep").orderBy("mean", "c").rowsBetween(W.unboundedPreceding, 0))
+    w = stored(w.join(mean, "c").withColumn("left", after < least), "in-groups")
+    return w.where("not left").select("c", "rep", "n", "label"), w.where("left").groupBy("rep").agg(F.sum("w").alias("lost"))
+
+
 def links(d: DataFrame, t: Fraction) -> DataFrame:
     """Merge the classes of d (rep, n, central, p1, p2, p3, tokens): (rep, component) of those that link."""
     need = lambda n: F.ceil(n * F.lit(t.numerator) / F.lit(t.denominator) - 1e-9)
@@ -180,13 +195,13 @@ def links(d: DataFrame, t: Fraction) -> DataFrame:
             first = F.min(F.struct((-F.col("central")).alias("k"), F.xxhash64("rep").alias("h"), "rep")).alias("c")
             open_ = g.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), first).where("lo != hi").select("x", "size", F.col("c.rep").alias("c"))
             open_ = stored(g.join(open_, "x"), "open")
-            # a pair without a hot element has all its shared ones here
-            members = stored(open_.where(F.col("size") > HOT).select("c", "rep", "n", "label").distinct(), "members")
-            g = open_.where(F.col("size") <= HOT)
-            left = g.select("x", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            pairs = left.join(g.select("x", F.col("rep").alias("b"), F.col("n").alias("nb"), "label"), "x").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("label"))).where(near)
-            # the long prefixes of linked sets share as many elements as is sure for the smaller
-            pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(sure(need(F.col("nb"))), sure(need(F.col("na"))))).drop("c")
+            members, lost = few_groups(open_.where(F.col("size") > HOT), sure(need(need(F.col("n")))))
+            g = open_.where(F.col("size") <= HOT).join(lost, "rep", "left")
+            left = g.select("x", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("lost").alias("da"))
+            pairs = left.join(g.select("x", F.col("rep").alias("b"), F.col("n").alias("nb"), "label", F.col("lost").alias("db")), "x").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("label"))).where(near)
+            # the long prefixes of linked sets share as many elements as is sure for the smaller; all but those of left groups are here if no kept group holds both
+            pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"), F.greatest(F.coalesce(F.max("da"), F.lit(0)), F.coalesce(F.max("db"), F.lit(0))).alias("lost"))
+            pairs = pairs.where(F.col("c") + F.col("lost") >= F.least(sure(need(F.col("nb"))), sure(need(F.col("na"))))).drop("c", "lost")
             if not members.isEmpty():
                 pairs = pairs.unionByName(hot_pairs(members, sets.select("rep", "tokens"), t)).distinct()
         pairs = stored(pairs.select("a", "na", "b", "nb"), "pairs")
