@@ -1,7 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
 A line goes if an equal line, or a line within `threshold` edits (insert, delete, replace a character), stands before it in
-(doc_id, line) order. Lines of fewer than `least` characters always stay: headings, list marks and the like.
+(doc_id, line) order. Lines of fewer than `least` characters take no part in the edit join: two edits turn one heading or
+list mark into another. Their equal copies go all the same, from `exact` characters on, if they hold a word; `exact` is
+`least` where it isn't given.
 
 Each distinct line is split into threshold + 1 even segments; two lines within the threshold share one of them, at a place
 that differs by few characters. Index entries are (length, segment number, segment hash). A line probes, for its own and each
@@ -31,8 +33,12 @@ from pyspark.sql import functions as F
 from keystrata.llm.common import BITS, bit_set, let, stored
 from keystrata.llm.text_hash import fmix, give_back, powers
 
-#: Production parameters: characters a line needs to take part, and edits allowed.
+#: Production parameters: characters a line needs to take part in the edit join, and edits allowed.
 LEAST, THRESHOLD = 24, 2
+#: Characters that a line with a word needs for its equal copies to go.
+EXACT = 1
+#: Parts that the places of a repeated line are spread over.
+SPREAD = 16
 HOT = 16
 _ODD = 0xD6E8FEB86659FD93
 _INV = pow(_ODD, -1, 1 << 64)
@@ -130,17 +136,17 @@ def keys_of(lines: list[str], threshold: int, least: int) -> tuple[np.ndarray, .
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(probes)
 
 
-def _lines(text: str, least: int) -> Iterator[tuple[int, str]]:
+def _lines(text: str, least: int, exact: int) -> Iterator[tuple[int, str]]:
     for i, x in enumerate(text.split("\n")):
-        if len(x) >= least:
+        if len(x) >= least or len(x) >= exact and x.strip(" \t\n\x0b\f\r"):
             yield i, x
 
 
-def _batches(b: pd.DataFrame, least: int) -> Iterator[tuple[list[tuple], list[str]]]:
+def _batches(b: pd.DataFrame, least: int, exact: int | None = None) -> Iterator[tuple[list[tuple], list[str]]]:
     """Lines of a batch with their places, about _CHUNK characters at a time."""
     place, lines, size = [], [], 0
     for d, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
-        for i, x in _lines(text or "", least):
+        for i, x in _lines(text or "", least, least if exact is None else exact):
             place.append((d, th, i))
             lines.append(x)
             size += len(x)
@@ -179,12 +185,12 @@ def _entries(src: DataFrame, threshold: int, least: int) -> DataFrame:
     return src.mapInPandas(run, "key long, h long, probe boolean, n int")
 
 
-def _places(src: DataFrame, least: int) -> DataFrame:
+def _places(src: DataFrame, least: int, exact: int | None) -> DataFrame:
     """(doc_id, th, line, h) of every line that takes part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for place, lines in _batches(b, least):
+            for place, lines in _batches(b, least, exact):
                 yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(p[0]) else int(p[0]) for p in place], "Int64"), "th": [p[1] for p in place], "line": np.array([p[2] for p in place], np.int32), "h": line_hashes(lines).view(np.int64)})
         give_back()
 
@@ -288,33 +294,36 @@ def near_pairs(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     return j.mapInPandas(check, "a long, b long")
 
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """(doc_id, th, removed, earlier): numbers of the lines that go, and for each the document of a line before it."""
     near = stored(near_pairs(docs, threshold, least), "near")
-    at = stored(_places(_source(docs), least), "places")
+    at = stored(_places(_source(docs), least, exact), "places")
     place = F.struct("doc_id", "th", "line")
-    first = at.groupBy("h").agg(F.min(place).alias("first"))
+    first = at.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     fa, fb = first.select(F.col("h").alias("a"), F.col("first").alias("pa")), first.select(F.col("h").alias("b"), F.col("first").alias("pb"))
     ordered = near.join(fa, "a").join(fb, "b")
     gone = ordered.select(F.when(F.col("pa") < F.col("pb"), F.struct(F.col("b").alias("h"), F.col("pa").alias("p"))).otherwise(F.struct(F.col("a").alias("h"), F.col("pb").alias("p"))).alias("x")).groupBy("x.h").agg(F.min("x.p").alias("before"))
-    lines = at.join(first.join(gone, "h", "left"), "h")
+    # Only lines that are repeated or have a near one before them lose a place; short ones may be very common.
+    part = F.pmod(F.xxhash64("doc_id", "line"), F.lit(SPREAD)).cast("int")
+    some = first.join(gone, "h", "left").where((F.col("copies") > 1) | F.col("before").isNotNull()).select("h", "first", "before", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
     same = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("th") == F.col("first.th")) & (F.col("line") == F.col("first.line"))
+    lines = at.withColumn("part", part).join(some, ["h", "part"])
     out = lines.where(F.col("before").isNotNull() | ~same).select("doc_id", "th", F.struct(F.col("line"), F.coalesce(F.col("before.doc_id"), F.col("first.doc_id")).alias("of")).alias("r"))
     out = out.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("r")).alias("r"))
     return out.select("doc_id", "th", F.col("r.line").alias("removed"), F.col("r.of").alias("earlier"))
 
 
-def report(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+def report(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed, earlier) of every document."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    r = removals(docs, threshold, least).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
+    r = removals(docs, threshold, least, exact).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     j = d.join(r, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     return j.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("earlier", F.array().cast("array<bigint>")).alias("earlier"))
 
 
-def deduped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+def deduped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """docs with docs' columns, the text without the lines that go; a document that loses its last line goes."""
-    r = removals(docs, threshold, least).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "removed")
+    r = removals(docs, threshold, least, exact).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "removed")
     d = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     j = d.join(r, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), "removed")

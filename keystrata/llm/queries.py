@@ -12,7 +12,7 @@ from keystrata.llm.common import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), exact=line_dedup.EXACT)
 
 
 def op2_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

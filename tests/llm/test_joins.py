@@ -191,6 +191,19 @@ def test_line_dedup(spark, hot, monkeypatch):
     assert line_dedup.report(empty).collect() == [] and line_dedup.deduped(empty).collect() == []
 
 
+def test_short_lines_lose_their_equal_copies(spark, tmp_path):
+    import corpus_pipeline
+    from keystrata.llm import queries
+
+    rows = [(1, "All rights reserved.\n \n\nItem 1"), (2, "Item 2\nAll rights reserved.\n \n你好世界"), (3, "own\n你好世界\nAll rights reserved.\nAll rights reserved."), (4, "Item 1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["removed"], r["earlier"]) for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: ([], []), 2: ([1], [1]), 3: ([1, 2, 3], [2, 1, 1]), 4: ([0], [1])}
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, d, "").collect()}
+    assert clean == {1: rows[0][1], 2: "Item 2\n \n你好世界", 3: "own"}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
 <nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- <p>no</p> --><div class="ad">buy</div><article><h1>T &amp; x</h1><p><b>One  two<br><p>Three&nbsp;&lt;b&gt; four</p>
 <div id="comments"><p>nice post</p></div><aside>side</aside><p>{0}</p></article><div class="cookie-notice">ok</div><form><p>mail</p></form><footer>(c)</footer>"""
