@@ -1,13 +1,14 @@
 """HTML main-text extraction with a host suffix array.
 
 Pages are cut into blocks of text. Blocks inside elements that mark page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, comments) go. The remaining blocks of a host's pages are concatenated into one token stream,
-whose suffixes are sorted by prefix doubling to MIN_REPEAT tokens; a run of at least that many tokens that stands on
-several pages is boilerplate. Boilerplate goes and unique runs stay, except inside an article or main element: what the
+adverts, forms, comments) go. A run of at least MIN_REPEAT tokens of the remaining blocks that stands on several pages of a
+host is boilerplate. Boilerplate goes and unique runs stay, except inside an article or main element: what the
 page itself marks as its text is kept also where other pages repeat it.
 
-Pages are range-partitioned by (host, hash), so that a hot host spreads over many tasks, and are worked on in
-groups of bounded size.
+A host of at most GROUP_PAGES pages and GROUP_CHARS characters is worked on in one piece: its pages are concatenated into one
+token stream, whose suffixes are sorted by prefix doubling to MIN_REPEAT tokens. The pages of a larger host are dealt by
+their ids into groups of about that size. Each group sends every run of MIN_REPEAT tokens once, as a 64-bit hash of
+host and tokens; those of several pages, in one group or in different ones, come back to the groups that hold them.
 
 Defined cases: null or empty html gives an empty text; a null url has an empty host; repeated rows are pages of their own id, so
 copies of a row count as one page; unclosed elements end with their parent; other columns are ignored.
@@ -18,12 +19,15 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.llm.text_hash import give_back, run_hashes
+
 MIN_REPEAT = 8
 GROUP_PAGES, GROUP_CHARS = 256, 4 << 20
 
@@ -164,6 +168,8 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = MIN_REPEAT) -> n
     whole = np.zeros(n, bool)
     whole[: n - least + 1] = page[: n - least + 1] == page[least - 1 :]  # runs end with their page
     at = np.flatnonzero(whole)
+    if not len(at):
+        return at
     order = at[np.lexsort((page[at], rank[at]))]
     same = rank[order][1:] == rank[order][:-1]
     group = np.concatenate([[0], np.cumsum(~same)])
@@ -181,19 +187,41 @@ def covered(starts: np.ndarray, n: int, least: int = MIN_REPEAT) -> np.ndarray:
     return np.cumsum(cover[:n]) > 0
 
 
-def main_texts(pages: list[list[tuple[str, bool]]], ids: list) -> list[tuple[str, int]]:
-    """(main text, tokens in repeated runs) of each page of a group of one host's pages."""
+def page_runs(blocks: list[tuple[str, bool]], host: str) -> np.ndarray:
+    """Hashes of host and run of the runs of MIN_REPEAT tokens that start at the page's tokens, as far as they end in it."""
+    seed = np.uint64(int.from_bytes(blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+    return run_hashes(" ".join(x for x, _ in blocks).encode("utf-8", "surrogatepass"), MIN_REPEAT, seed)
+
+
+def group_runs(pages: list[list[tuple[str, bool]]], ids: list, hosts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of a group of pages, and whether each stands on several of them."""
+    number = {k: i for i, k in enumerate(dict.fromkeys(ids))}
+    own = [np.unique(page_runs(x, h)) for x, h in zip(pages, hosts, strict=True)]
+    runs, page = np.concatenate(own), np.repeat([number[k] for k in ids], [len(x) for x in own])
+    order = np.lexsort((page, runs))
+    runs, page = runs[order], page[order]
+    cut = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.empty(0, np.int64)
+    last = np.append(cut[1:], len(runs)) - 1
+    return runs[cut], page[cut] != page[last]
+
+
+def main_texts(pages: list[list[tuple[str, bool]]], ids: list, hosts: list[str] | None = None, common_runs: np.ndarray | None = None) -> list[tuple[str, int]]:
+    """(main text, tokens in repeated runs) of each of one host's pages, or of a group of them whose repeated runs are given."""
     words: dict[str, int] = {}
     number = {k: i for i, k in enumerate(dict.fromkeys(ids))}  # copies of a row are one page
     tokens, page, place, k = [], [], [], 0
-    for blocks, key in zip(pages, ids, strict=True):
+    found = [np.empty(0, np.int64)]
+    for i, (blocks, key) in enumerate(zip(pages, ids, strict=True)):
+        if common_runs is not None:
+            found.append(len(tokens) + np.flatnonzero(np.isin(page_runs(blocks, hosts[i]), common_runs)))
         for block, _ in blocks:
             t = [words.setdefault(w, len(words)) for w in block.split(" ")]
             tokens += t
             page += [number[key]] * len(t)
             place += [k] * len(t)
             k += 1
-    starts, where = repeated(np.array(tokens, np.int64), np.array(page, np.int64)), np.array(place, np.int64)
+    where = np.array(place, np.int64)
+    starts = np.concatenate(found) if common_runs is not None else repeated(np.array(tokens, np.int64), np.array(page, np.int64))
     mask = covered(starts, len(tokens))
     inside = covered(starts[where[starts] == where[starts + MIN_REPEAT - 1]], len(tokens)) if len(starts) else mask
     out, at = [], 0
@@ -218,30 +246,71 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 4)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
     d = df.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"), host.alias("host"))
-    d = d.withColumn("mix", F.xxhash64("page_id", "url"))
-    d = d.repartitionByRange(n, "host", "mix").sortWithinPartitions("host", "mix")
+    size = d.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
+    parts = F.ceil(F.greatest(F.col("pages") / GROUP_PAGES, F.col("chars") / GROUP_CHARS)).cast("long")
+    # One row a host of more than a group's pages or characters.
+    large = size.select("host", parts.alias("parts")).where("parts > 1")
+    d = d.join(F.broadcast(large), "host", "left")
+    # A page's rows share a group; the lowest bit is kept free for runs.
+    group = F.xxhash64("host", F.pmod(F.xxhash64("page_id"), F.col("parts"))).bitwiseAND(F.lit(-2))
+    dealt = d.where("parts is not null").select(group.alias("g"), "host", "page_id", "url", "html").repartition(n, "g")
+
+    def ids_of(b: pd.DataFrame) -> list:
+        return [None if pd.isna(k) else int(k) for k in b["page_id"]]
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        last = None
+
+        def done() -> pd.DataFrame:
+            got, several = group_runs([x[2] for x in held], [x[1] for x in held], [x[0] for x in held])
+            held.clear()
+            return pd.DataFrame({"run": got.view(np.int64), "g": last | several.astype(np.int64)})
+
+        for b in batches:
+            for g, h, k, page in zip(b["g"].tolist(), b["host"], ids_of(b), b["html"], strict=True):
+                if held and g != last:
+                    yield done()
+                last = g
+                held.append((h, k, blocks_of(page or "")))
+        if held:
+            yield done()
+        give_back()
+
+    # One exchange by run serves the search for repeated ones and the way back.
+    sent = dealt.sortWithinPartitions("g").mapInPandas(runs, "run long, g long").repartition("run")
+    several = sent.groupBy("run").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where((F.col("lo") != F.col("hi")) | (F.col("lo").bitwiseAND(F.lit(1)) == 1)).select("run")
+    back = sent.join(several, "run").select(F.col("g").bitwiseAND(F.lit(-2)).alias("g"), "run")
+
+    def frame(ids: list, urls: list, texts: list[tuple[str, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": pd.array(ids, "Int64"), "url": urls, "text": [t for t, _ in texts], "n_chars": [len(t) for t, _ in texts], "n_repeated": [c for _, c in texts]})
+
+    def masked(b: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        ids = ids_of(b)
+        return frame(ids, b["url"].tolist(), main_texts([blocks_of(x or "") for x in b["html"]], ids, b["host"].tolist(), r["run"].to_numpy(np.int64).view(np.uint64)))
+
+    shape = "page_id long, url string, text string, n_chars long, n_repeated long"
+    of_large = dealt.groupBy("g").cogroup(back.groupBy("g")).applyInPandas(masked, shape)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        chars = 0
 
         def done() -> pd.DataFrame:
-            texts = main_texts([x[2] for x in held], [x[0] for x in held])
-            got = pd.DataFrame({"page_id": pd.array([x[0] for x in held], "Int64"), "url": [x[1] for x in held], "text": [t for t, _ in texts], "n_chars": [len(t) for t, _ in texts], "n_repeated": [c for _, c in texts]})
+            ids = [x[0] for x in held]
+            got = frame(ids, [x[1] for x in held], main_texts([x[2] for x in held], ids))
             held.clear()
             return got
 
         last = None
         for b in batches:
-            for k, u, h, host in zip(b["page_id"], b["url"], b["html"], b["host"], strict=True):
-                if held and (host != last or len(held) >= GROUP_PAGES or chars >= GROUP_CHARS):
+            for k, u, h, host in zip(ids_of(b), b["url"], b["html"], b["host"], strict=True):
+                if held and host != last:
                     yield done()
-                    chars = 0
                 last = host
-                held.append((None if pd.isna(k) else int(k), u, blocks_of(h or "")))
-                chars += len(h or "")
+                held.append((k, u, blocks_of(h or "")))
         if held:
             yield done()
 
-    out = d.select("page_id", "url", "html", "host").mapInPandas(run, "page_id long, url string, text string, n_chars long, n_repeated long")
+    small = d.where("parts is null").select("page_id", "url", "html", "host").repartition(n, "host").sortWithinPartitions("host")
+    out = small.mapInPandas(run, shape).unionByName(of_large)
     return out.withColumnRenamed("page_id", key).withColumnRenamed("url", url) if (key, url) != ("page_id", "url") else out

@@ -105,3 +105,19 @@ def shingles(h: np.ndarray, w: int) -> np.ndarray:
     for k in range(n):
         acc = acc * np.uint64(_ODD) + h[k : k + len(acc)]
     return np.unique(fmix(acc))
+
+
+def run_hashes(buf: bytes, least: int, seed: np.uint64) -> np.ndarray:
+    """Hashes, mixed with seed, of the runs of least words that start at each word of buf; words stand one space apart, case counts."""
+    a = np.frombuffer(buf, np.uint8)
+    gap = np.flatnonzero(a == 32)
+    if len(gap) + 1 < least:
+        return np.empty(0, np.uint64)
+    s, e = np.append(0, gap + 1), np.append(gap, len(a))
+    c = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_T[a] * powers(_ODD, len(a)), out=c[1:])
+    h = fmix((c[e] - c[s]) * powers(_INV, len(a) + 1)[s] + (e - s).astype(np.uint64))
+    acc = np.full(len(h) - least + 1, seed, np.uint64)
+    for k in range(least):
+        acc = acc * np.uint64(_ODD) + h[k : k + len(acc)]
+    return fmix(acc)

@@ -230,6 +230,25 @@ def test_suffix_array_removes_what_pages_repeat(spark):
     assert html_extract.extract(spark.createDataFrame([], d.schema)).collect() == []
 
 
+@pytest.mark.parametrize(("pages", "chars"), [(2, 4 << 20), (256, 400), (256, 4 << 20)])
+def test_repeats_are_found_over_all_pages_of_a_host(spark, monkeypatch, pages, chars):
+    """However pages fall into groups, the result is that of the whole host in one piece."""
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", pages)
+    monkeypatch.setattr(html_extract, "GROUP_CHARS", chars)
+    rng = random.Random(3)
+    lines = [" ".join(f"{rng.choice('aBc')}{rng.randrange(50)}" for _ in range(rng.randrange(6, 14))) for _ in range(30)]
+    rows = [(i, f"http://h{i % 2}.example/{i}", "".join(f"<{(t := rng.choice(['div', 'article']))}>{x}</{t}>" for x in [*rng.sample(lines, 2), f"own words {i} of this page only and no other {i}"])) for i in range(40)]
+    rows += [(None, "http://h0.example/", rows[0][2]), rows[4], (40, "http://h0.example/x", "<p>one"), (41, "http://h1.example/y", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = []
+    for h in ("h0", "h1"):
+        own = [r for r in rows if f"//{h}." in r[1]]
+        texts = html_extract.main_texts([html_extract.blocks_of(r[2] or "") for r in own], [r[0] for r in own])
+        want += [(r[0], r[1], t, len(t), c) for r, (t, c) in zip(own, texts, strict=True)]
+    got = [tuple(r) for r in html_extract.extract(d, partitions=3).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=4))
 def test_repeated_runs(pages):
