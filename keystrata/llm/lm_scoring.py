@@ -5,8 +5,8 @@ belongs to a class by its length in bytes. A token's probability is that of its
 the word within its class: a softmax for the model's own words, smoothed counts over the whole training corpus for the others.
 
 Training: each task runs truncated backpropagation over all of its training documents, in windows of WINDOW steps over
-many documents side by side; the state is carried from window to window within a document, and loss is taken at every STRIDE-th
-token, at another one in each window. The tasks' parameters are averaged by tokens (a sum by parameter index in Spark).
+many documents side by side; the state is carried from window to window within a document, and loss is taken at every token (every
+STRIDE-th one, at another in each window, for a STRIDE above 1). The tasks' parameters are averaged by tokens (a sum by parameter index in Spark).
 Output biases start at the log frequencies, so the untrained model is the unigram model.
 
 Scoring carries the state through a whole document of any length. Counts of all words stay in a table: the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from keystrata.llm.common import stored
 from keystrata.llm.text_hash import CHUNK, give_back, hash_bytes, pieces
 
-HEAD, CLASSES, HIDDEN, WINDOW, STRIDE, COMMON = 1024, 32, 12, 16, 3, 1 << 16
+HEAD, CLASSES, HIDDEN, WINDOW, STRIDE, COMMON = 1024, 32, 16, 16, 1, 1 << 16
 TAILS = 8
 OWN = HEAD // CLASSES
 SYMBOLS = HEAD + TAILS
@@ -109,19 +109,32 @@ def _by_class(k: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield i, order[cut[i] : cut[i + 1]]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    e = np.exp(x).sum(1, keepdims=True)
-    x -= np.log(e)
-    return x
+def _softmax(weights: np.ndarray, x: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Probabilities with one column a row of x: sums over the long axis are the fast ones."""
+    e = weights.T @ x.T
+    e += bias[:, None]
+    e -= e.max(0)
+    np.exp(e, out=e)
+    e /= e.sum(0)
+    return e
+
+
+def _log_of(weights: np.ndarray, x: np.ndarray, bias: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax's k-th value for each row of x."""
+    e = weights.T @ x.T
+    e += bias[:, None]
+    e -= e.max(0)
+    own = e[k, np.arange(len(k))]
+    np.exp(e, out=e)
+    return own - np.log(e.sum(0))
 
 
 def log_prob(m: Model, h: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Natural log probability of symbol s in state h; a tail symbol stands for its whole class."""
     k = np.where(s < HEAD, s // OWN, CLASSES + s - HEAD)
-    out = _log_softmax(h @ m.c + m.cb)[np.arange(len(s)), k].astype(np.float64)
+    out = _log_of(m.c, h, m.cb, k).astype(np.float64)
     for i, at in _by_class(k):
-        out[at] += _log_softmax(h[at] @ m.o[i] + m.ob[i])[np.arange(len(at)), s[at] - i * OWN]
+        out[at] += _log_of(m.o[i], h[at], m.ob[i], s[at] - i * OWN)
     return out
 
 
@@ -211,21 +224,27 @@ class Trainer:
         take[np.arange(size) % STRIDE != self.turn % STRIDE] = False
         self.turn += 1
         at = np.flatnonzero(take.ravel())
-        x, y = hs.reshape(-1, HIDDEN)[at], s.ravel()[at]
+        y = s.ravel()[at]
         k = np.where(y < HEAD, y // OWN, CLASSES + y - HEAD)
+        order = np.argsort(k.astype(np.int16), kind="stable")  # by class, so that a class's places are a stretch
+        at, y, k = at[order], y[order], k[order]
+        x = hs.reshape(-1, HIDDEN)[at]
         scale = np.float32(STRIDE / most)  # windows with few lanes left weigh less
-        e = np.exp(_log_softmax(x @ m.c + m.cb))
-        e[np.arange(len(y)), k] -= 1
+        e = _softmax(m.c, x, m.cb)
+        e[k, np.arange(len(y))] -= 1
         e *= scale
-        dx = e @ m.c.T
-        dc, dcb = x.T @ e, e.sum(0)
+        dx = e.T @ m.c.T
+        dc, dcb = x.T @ e.T, e.sum(1)
         do, dob = np.zeros_like(m.o), np.zeros_like(m.ob)
-        for i, p in _by_class(k):
-            w = np.exp(_log_softmax(x[p] @ m.o[i] + m.ob[i]))
-            w[np.arange(len(p)), y[p] - i * OWN] -= 1
-            w *= scale
-            dx[p] += w @ m.o[i].T
-            do[i], dob[i] = x[p].T @ w, w.sum(0)
+        cut = np.searchsorted(k, np.arange(CLASSES + 1))
+        for i in range(CLASSES):
+            if cut[i] < cut[i + 1]:
+                p = slice(cut[i], cut[i + 1])
+                w = _softmax(m.o[i], x[p], m.ob[i])
+                w[y[p] - i * OWN, np.arange(cut[i + 1] - cut[i])] -= 1
+                w *= scale
+                dx[p] += w.T @ m.o[i].T
+                do[i], dob[i] = x[p].T @ w.T, w.sum(1)
         dh_out = np.zeros((size * n, HIDDEN), np.float32)
         dh_out[at] = dx
         dh_out = dh_out.reshape(size, n, HIDDEN)
@@ -265,8 +284,7 @@ class Trainer:
         if not docs:
             return
         tokens = sum(map(len, docs))
-        steps = 300 if self.seen < 1 << 20 else 100  # many small updates first, then fewer of more documents
-        most = int(min(512, max(16, tokens // (WINDOW * steps))))
+        most = int(min(512, max(16, tokens // (WINDOW * 300))))
         h = prev = None
         for s, d, f, live in windows(docs, most, WINDOW):
             h = np.zeros((live, HIDDEN), np.float32) if h is None else h[:live]

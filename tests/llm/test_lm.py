@@ -84,3 +84,30 @@ def test_gradient(monkeypatch):
             getattr(m, name)[at] += step
             loss.append(-lm.score_docs(m, [doc])[0])
         assert abs((loss[0] - loss[1]) / 2e-2 - g[at]) < 2e-2 * max(1, abs(g[at])), name
+
+
+def test_every_token_is_a_target():
+    """With the production parameters, loss in each window is that of all its tokens."""
+    rng = np.random.default_rng(5)
+    doc = rng.integers(0, lm.SYMBOLS, lm.WINDOW).astype(np.int32)
+    base = model()
+    given = np.concatenate([[lm.SYMBOLS], doc[:-1]])
+    for turn in range(3):
+        t = lm.Trainer(lm.Model.unflat(base.flat()))
+        t.turn, grads = turn, {}
+        t._update = lambda name, g, grads=grads: grads.__setitem__(name, g)
+        t.window(doc[:, None], given[:, None], np.arange(lm.WINDOW)[:, None] == 0, np.ones((lm.WINDOW, 1), bool), np.zeros((1, lm.HIDDEN), np.float32), 1)
+        k = np.where(doc < lm.HEAD, doc // lm.OWN, lm.CLASSES + doc - lm.HEAD)
+        taught = np.bincount(doc[doc < lm.HEAD], minlength=lm.HEAD).reshape(lm.CLASSES, lm.OWN) > 0
+        assert (grads["ob"][taught] < 0).all() and (grads["cb"][np.unique(k)] < 0).all()
+
+
+def test_updates_do_not_get_rarer():
+    sizes = []
+    t = lm.Trainer(model())
+    t.window = lambda s, given, f, ok, h, most: sizes.append(most) or h
+    docs = [np.zeros(50, np.int32)] * 2000
+    t.learn(docs)
+    t.seen = 1 << 21
+    t.learn(docs)
+    assert len(sizes) % 2 == 0 and len(set(sizes)) == 1 and lm.HIDDEN == 16
