@@ -17,6 +17,9 @@ order of elements their prefixes share some. Three orders are used: the hash its
 
 Sets are hashed with 64 bits and classes with 128.
 
+Classes are named by the smallest of their ids. Where that is the smallest id of several classes (rows of one id may have different
+texts), all but one of them are named by a 64-bit hash instead, and the smallest id is looked up again at the end.
+
 Defined cases: null texts and texts without words have no set and link with nothing; fewer words than a shingle count as one
 shingle; rows with a null id are returned without a component; repeated rows fall into one class; an empty table gives no
 rows; other columns are ignored.
@@ -59,7 +62,7 @@ def _sure(n: int, t: Fraction) -> int:
 
 
 def sets_of(docs: DataFrame, words: int, t: Fraction, only: bytes | None = None, whole: bool = False) -> DataFrame:
-    """(doc_id, n, fa, fb, p1[, tokens, p2, p3]); p1 is the long first prefix. only: a bit set of wanted ids."""
+    """(doc_id, th, n, fa, fb, p1[, tokens, p2, p3]); th is the text's hash, p1 is the long first prefix. only: a bit set of wanted ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = None if only is None else np.frombuffer(only, np.uint8)
@@ -68,7 +71,7 @@ def sets_of(docs: DataFrame, words: int, t: Fraction, only: bytes | None = None,
                 i = b["doc_id"].fillna(-1).to_numpy(np.int64)
                 at = i & (BITS - 1)
                 b = b[(i >= 0) & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) | (i < 0)]
-            rows, ids = [], b["doc_id"].tolist()
+            rows, ids, th = [], b["doc_id"].tolist(), b["th"].tolist()
             for first, last, h, counts in word_hashes(b["text"].tolist()):
                 at = 0
                 for i, c in zip(range(first, last), counts, strict=True):
@@ -77,7 +80,7 @@ def sets_of(docs: DataFrame, words: int, t: Fraction, only: bytes | None = None,
                     n = len(s)
                     room = n - _need(n, t) + 1 + int(EXTRA * n)
                     mixed = fmix(s ^ np.uint64(0x1234567)) if n else s
-                    row = [ids[i], n, np.int64(np.add.reduce(s).view(np.int64)), np.int64(np.add.reduce(mixed).view(np.int64)), s[: min(n, room)].view(np.int64)]
+                    row = [ids[i], th[i], n, np.int64(np.add.reduce(s).view(np.int64)), np.int64(np.add.reduce(mixed).view(np.int64)), s[: min(n, room)].view(np.int64)]
                     if whole:
                         cut = n - _need(n, t) + 1
                         row += [s.view(np.int64), *[np.sort(np.partition(o, cut - 1)[:cut]).view(np.int64) for o in (fmix(s ^ x) for x in _SEEDS)]]
@@ -89,24 +92,32 @@ def sets_of(docs: DataFrame, words: int, t: Fraction, only: bytes | None = None,
                 yield frame(rows)
         give_back()
 
-    names = ["doc_id", "n", "fa", "fb", "p1"] + (["tokens", "p2", "p3"] if whole else [])
+    names = ["doc_id", "th", "n", "fa", "fb", "p1"] + (["tokens", "p2", "p3"] if whole else [])
 
     def frame(rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, n long, fa long, fb long, p1 array<long>" + (", tokens array<long>, p2 array<long>, p3 array<long>" if whole else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    schema = "doc_id long, th long, n long, fa long, fb long, p1 array<long>" + (", tokens array<long>, p2 array<long>, p3 array<long>" if whole else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+
+
+def named_classes(sets: DataFrame) -> DataFrame:
+    """(fa, fb, n, id, th, rep) of every class: its first row by (id, text hash), and its name."""
+    c = sets.where("n > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("m"))
+    c = stored(c.select("fa", "fb", "n", F.col("m.doc_id").alias("id"), F.col("m.th").alias("th")), "first-rows")
+    several = c.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("fa", "fb")).alias("f")).where("c > 1").select(F.col("id").alias("_i"), "f")
+    rep = F.when(F.col("f").isNull() | (F.struct("fa", "fb") == F.col("f")), F.col("id")).otherwise(F.xxhash64("fa", "fb", "id"))
+    return stored(c.join(several, F.col("id") == F.col("_i"), "left").select("fa", "fb", "n", "id", "th", rep.alias("rep")), "names")
 
 
-def candidates_left(sets: DataFrame, t: Fraction) -> DataFrame:
+def candidates_left(sets: DataFrame, names: DataFrame, t: Fraction) -> DataFrame:
     """Classes that can have a partner: (rep, n, central)."""
-    reps = sets.where("n > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
-    own = sets.where("n > 0").select("doc_id", "fa", "fb", "p1").join(reps.select(F.col("rep"), F.col("fa").alias("_a"), F.col("fb").alias("_b")), (F.col("doc_id") == F.col("rep")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
+    first = names.select("rep", "id", F.col("fa").alias("_a"), F.col("fb").alias("_b"))
+    own = sets.where("n > 0").select("doc_id", "fa", "fb", "p1").join(first, (F.col("doc_id") == F.col("id")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
     hits = shared_only(own.select("rep", F.explode("p1").alias("x"))).groupBy("rep").agg(F.count(F.lit(1)).alias("hits"))
-    sized = sets.where("n > 0").groupBy(F.col("doc_id").alias("rep")).agg(F.min("n").alias("n"))
     need = F.ceil(F.col("n") * F.lit(t.numerator) / F.lit(t.denominator) - 1e-9)
     # the guard for rounding keeps a class rather than lose one
-    return hits.join(sized, "rep").where(F.col("hits") >= 1 + F.floor(need * float(EXTRA) - 1e-6)).select("rep", "n", (F.col("hits") / F.col("n")).alias("central"))
+    return hits.join(names.select("rep", "n"), "rep").where(F.col("hits") >= 1 + F.floor(need * float(EXTRA) - 1e-6)).select("rep", "n", (F.col("hits") / F.col("n")).alias("central"))
 
 
 def shared_only(e: DataFrame) -> DataFrame:
@@ -216,33 +227,48 @@ def links(d: DataFrame, t: Fraction) -> DataFrame:
     return labels if labels is not None else d.sparkSession.createDataFrame([], "rep long, component long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float | str = "0.8") -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest id that links of at least threshold reach, itself included."""
+def labelled(docs: DataFrame, words: int, threshold: float | str) -> DataFrame:
+    """(doc_id, th, n, component_id, first) of all rows. first: the row is the one that its component is named by, or belongs to none."""
     t = Fraction(str(threshold))
     long = stored(sets_of(docs, words, t), "sets")
-    left = stored(candidates_left(long, t), "left")
-    sets = stored(long.select("doc_id", "n", "fa", "fb"), "classes")
+    names = named_classes(long)
+    left = stored(candidates_left(long, names, t), "left")
+    sets = stored(long.select("doc_id", "th", "n", "fa", "fb"), "classes")
     drop_stored(long)
     del long
     release(docs.sparkSession)
-    whole = sets_of(docs, words, t, bit_set(left, "rep"), whole=True).where("doc_id is not null and n > 0")
-    key = sets.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
     # the class decides, not the id alone: rows of one id may have different texts
-    mine = left.select("rep", "central").join(key.select("rep", F.col("fa").alias("_a"), F.col("fb").alias("_b")), "rep")
-    d = whole.join(mine, (F.col("doc_id") == F.col("rep")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
-    one = F.row_number().over(W.partitionBy("rep").orderBy("fa"))
-    d = stored(d.select("rep", "n", "central", "p1", "p2", "p3", "tokens", "fa").withColumn("_r", one).where("_r = 1").drop("_r", "fa"), "whole")
+    mine = left.select("rep", "central").join(names.select("rep", "id", F.col("fa").alias("_a"), F.col("fb").alias("_b")), "rep")
+    whole = sets_of(docs, words, t, bit_set(mine, "id"), whole=True).where("doc_id is not null and n > 0")
+    d = whole.join(mine, (F.col("doc_id") == F.col("id")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
+    one = F.row_number().over(W.partitionBy("rep").orderBy("th"))
+    d = stored(d.select("rep", "n", "central", "p1", "p2", "p3", "tokens", "th").withColumn("_r", one).where("_r = 1").drop("_r", "th"), "whole")
     release(docs.sparkSession)
     labels = links(d, t)
-    named = key.join(labels, "rep", "left").select(F.col("fa").alias("_a"), F.col("fb").alias("_b"), F.coalesce("component", "rep").alias("component"))
+    # Components whose name isn't the smallest id, as hashes were among their classes' names.
+    m = F.min(F.struct("id", "th", "rep")).alias("m")
+    other = names.join(labels, "rep").groupBy("component").agg(m).where((F.col("m.id") != F.col("component")) | (F.col("m.rep") != F.col("component")))
+    other = other.select(F.col("component").alias("_c"), F.col("m.id").alias("_id"), F.col("m.rep").alias("_rep"))
+    named = names.join(labels, "rep", "left").join(other, F.col("component") == F.col("_c"), "left")
+    head = F.col("rep") == F.coalesce("_rep", "component", "rep")
+    # a class of its own is named by its id, whatever the class's name
+    named = named.select(F.col("fa").alias("_a"), F.col("fb").alias("_b"), F.coalesce("_id", "component", "id").alias("component"), F.when(head, F.struct("id", F.col("th").alias("th"))).alias("head"))
     out = sets.join(named, (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")) & (F.col("n") > 0), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
+    first = F.col("doc_id").isNull() | (F.col("n") == 0) | F.coalesce((F.col("doc_id") == F.col("head.id")) & (F.col("th") == F.col("head.th")), F.lit(False))
+    return out.select("doc_id", sets["th"], "n", component.cast("long").alias("component_id"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float | str = "0.8") -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest id that links of at least threshold reach, itself included."""
+    return labelled(docs, words, threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, threshold: float | str = "0.8") -> DataFrame:
-    """docs without the rows whose id isn't their component's; equal rows of one id are kept once. Rows with a null id stay."""
-    n = near_duplicates(docs, words, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(n, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    w = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    """docs with one row of each component, one of its smallest id; equal rows of one id are kept once. Rows with a null id stay, and so
+    do texts without words."""
+    n = labelled(docs, words, threshold).where("not first").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_t")).distinct()
+    d = docs.withColumn("_th", F.xxhash64("text"))
+    kept = d.join(n, (F.col("doc_id").cast("long") == F.col("_gone")) & (F.col("_th") == F.col("_t")), "left_anti")
+    w = W.partitionBy("doc_id", "_th").orderBy("_th")
     return kept.withColumn("_r", F.row_number().over(w)).where(F.col("doc_id").isNull() | (F.col("_r") == 1)).select(*docs.columns)

@@ -101,6 +101,23 @@ def test_jaccard_edges(spark):
     assert jaccard_join.near_duplicates(empty).collect() == [] and jaccard_join.one_of_each(empty).collect() == []
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """Different texts of one id link by themselves, and only rows whose own text is a copy go."""
+    rng = random.Random(11)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    near = lambda x: " ".join([*x[:-1], "changed"])
+    bases = [text() for _ in range(12)]
+    rows = [(7, " ".join(x)) for x in bases] + [(100 + i, near(x)) for i, x in enumerate(bases)]
+    rows += [(7, near(bases[0])), (7, " ".join(bases[1])), (7, " ".join(bases[2]).upper()), (7, ""), (200, " ".join(text())), (3, " ".join([*bases[3], "more"])), (300, " ".join(bases[3]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(d).collect()}
+    assert got == {(7, 7), (7, 3), (3, 3), (300, 3), (103, 3), (200, 200)} | {(100 + i, 7) for i in range(12) if i != 3}
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in jaccard_join.one_of_each(d).collect()]
+    fixed = {(7, " ".join(x)) for x in [*bases[1:3], *bases[4:]]} | {(7, ""), rows[-3], rows[-2]}
+    assert len(kept) == len(set(kept)) == len(fixed) + 1
+    assert set(kept) - fixed <= {rows[0], (7, near(bases[0]))}
+
+
 def test_components_of_a_long_path(spark):
     rng = random.Random(4)
     ids = list(range(100, 164))
