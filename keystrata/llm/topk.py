@@ -8,7 +8,8 @@ over the leading coordinates, and what is left is bounded by Cauchy-Schwarz. Wha
 
 Defined cases: null vectors and those holding null, NaN or infinite components, or of another length than the most common one,
 take no part; ids may repeat: every row with the query's own id is left out, and a repeated query id asks once, with the least of its vectors; fewer than k candidates give all;
-no rows give no rows; other columns are ignored. A row with a null id takes no part.
+no rows give no rows; other columns are ignored. A row with a null id takes no part. A component or score that a long
+doesn't hold raises an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.common import stored
 
+#: Products of lengths from here on are scored in integers of any size.
+WIDE = 2.0**62
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -30,6 +33,15 @@ def _pack(rows: np.ndarray) -> bytes:
     return np.ascontiguousarray(rows, np.int64).tobytes()
 
 
+def _scores(v: np.ndarray, q: np.ndarray, wide: bool) -> np.ndarray:
+    if not wide:
+        return v @ q
+    got = [sum(a * b for a, b in zip(row, q.tolist(), strict=True)) for row in v.tolist()]
+    if any(abs(x) >= 1 << 63 for x in got):
+        raise OverflowError("a score exceeds 64 bits")
+    return np.array(got, np.int64)
+
+
 def _best(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, rot: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Top k of v for every query, as far as they reach floor; v is sorted by descending length."""
     head = max(1, min(v.shape[1], v.shape[1] // 4))
@@ -46,7 +58,7 @@ def _best(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, rot: n
             part = vf[at:end, :head] @ qf[i, :head]
             live = at + np.flatnonzero(part + vr[at:end] * qr[i] + slack >= low)
             live = live[vid[live] != qid[i]]
-            ids, scores = np.concatenate([ids, vid[live]]), np.concatenate([scores, v[live] @ q[i]])
+            ids, scores = np.concatenate([ids, vid[live]]), np.concatenate([scores, _scores(v[live], q[i], vn[at] * qn[i] >= WIDE)])
             if len(ids) > k:
                 top = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[top], scores[top]
@@ -61,13 +73,14 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: F.Column, k: int = 5,
     """(query_id, rank, vec_id, score) of the k best rows for every row that is_query selects."""
     spark = df.sparkSession
     x = F.col(vector).cast("array<double>")
-    fine = F.col(vector).isNotNull() & F.col(key).isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) > F.lit(1e9)))
-    d = df.where(fine).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * 256).cast("long")).alias("v"), is_query.alias("is_query"))
+    fine = F.col(vector).isNotNull() & F.col(key).isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf"))))
+    d = df.where(fine).select(F.col(key).cast("long").alias("vec_id"), x.alias("v"), is_query.alias("is_query"))
     lengths = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths or lengths[0]["n"] == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = lengths[0]["n"]
-    d = d.where(F.size("v") == dim).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))))
+    whole = lambda e: F.when(F.abs(e) >= 2.0**55, F.raise_error(F.lit("a component exceeds 64 bits"))).otherwise(F.floor(e * 256).cast("long"))
+    d = d.where(F.size("v") == dim).withColumn("v", F.transform("v", whole)).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))))
     d = stored(d, "vectors")
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +152,7 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: F.Column, k: int = 5,
                 yield pd.DataFrame({"q": np.full(len(ids), r.q), "pos": np.arange(len(ids)), "query_id": ids})
 
     floors = side.select("q", "qids").mapInPandas(ids_of, "q long, pos int, query_id long").join(low, "query_id", "left")
-    floors = floors.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce(F.col("low").cast("double"), F.lit(float("-inf"))).alias("low")))).alias("l"))
+    floors = floors.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce(F.col("low").cast("double") - F.abs(F.col("low").cast("double")) * 1e-15, F.lit(float("-inf"))).alias("low")))).alias("l"))
 
     @F.pandas_udf("binary")
     def packed(s: pd.Series) -> pd.Series:

@@ -202,6 +202,23 @@ def test_top_k(spark, n):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_of_large_components(spark):
+    """Large finite vectors take part; scores that a long doesn't hold are errors."""
+    vs = [(i, [float(i % 7 - 3), 1.0, float(i)]) for i in range(60)] + [(60, [2e9, 0.0, -1.0]), (100, [0.0, -4e9, 3.0])]
+    d = spark.createDataFrame(vs, "vec_id long, embedding array<float>")
+    got = topk.top_k(d, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5, block=16, query_block=2).collect()
+    q, want = [(i, [int(256 * x) for x in v]) for i, v in vs], []
+    for i, v in q:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in q if j != i)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want) and any(j == 60 for _, _, j, _ in want)
+    for more in ([2e9, 0.0, 0.0], [1e30, 0.0, 0.0]):
+        e = spark.createDataFrame([*vs, (150, more)], d.schema)
+        with pytest.raises(Exception, match="exceeds 64 bits"):
+            topk.top_k(e, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5).collect()
+
+
 def test_word_hashes_over_chunks():
     long = ("alpha\tbeta  gamma\n" * (CHUNK // 9)) + "Z" * 10
     texts = [None, "", "One two", long, "one TWO", "é x"]
