@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
+import os
 import tempfile
 import uuid
 
@@ -14,12 +16,22 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Where set, Spark deletes an execution's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a session on one machine (tests) gets a folder of
+    its own, and one on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="keystrata-")
         spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(_drop, spark, found)
     return found.rstrip("/")
 
 
@@ -31,29 +43,60 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/keystrata-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_drop, spark, folder)
+    return folder
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors. The shuffles that made
+    it are deleted at once."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/keystrata-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
+    with _setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table made by stored(), when nothing will read it again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/keystrata-" in folder:
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(conf).delete(p, True)
+def drop_stored(*dfs: DataFrame) -> None:
+    """Delete the files of tables made by stored(), when nothing will read them again."""
+    for df in dfs:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if os.path.basename(os.path.dirname(folder)).startswith("keystrata-"):
+                _drop(df.sparkSession, folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished plans now: it does so when the driver collects the plans as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the cluster has cores, where a scan has fewer (a table of one row group is read by one task)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # no plain scan; counting its tasks would run it
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,12 +3,12 @@
 A document's set holds the hashes of its distinct word shingles. Equal sets form a class, and one document stands for it. If
 two sets reach the threshold, each shares at least ceil(t * n) of its n elements with the other, so under any global
 order of elements their prefixes share some. Three orders are used: the hash itself and two re-mixed hashes.
- 1. Under the first order a prefix with room for k(n) shared elements is spread over the cluster. Elements that stand in one
-    class only can't be shared; a class with fewer than the sure number of shared ones has no partner.
+ 1. Under the first order a prefix with room for k(n) shared elements is spread over the cluster; rows of elements known to be very
+    common are spread evenly. Elements that stand in one class only can't be shared; a class with fewer than the sure number of shared ones has no partner.
  2. Classes that remain are grouped by their shared prefix elements. Each group's most central member (the one
     with the largest part of its prefix shared) is its centre, and every member meets the centre that it shares most with;
-    pairs must be near in size and share prefix elements under the second and third order too; what passes is
-    verified on the whole sets.
+    pairs must be near in size and share prefix elements under the second and third order too, which is settled on those prefixes
+    alone; only what passes is verified on the whole sets.
  3. Links merge classes into components. Groups that still hold several components take their next member as centre. After
     ROUNDS of that, all pairs of different components that share as many elements of the first prefix as any linked pair
     must are compared, so no link that joins two components is lost.
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import BITS, bit_set, drop_stored, release, stored
+from keystrata.llm.common import BITS, bit_set, drop_stored, stored
 from keystrata.llm.graph import components
 from keystrata.llm.text_hash import fmix, give_back, shingles, word_hashes
 
@@ -49,6 +49,8 @@ DEPTH = 3
 SPARE = 4 * HOT
 #: The part of a set by which the first prefix is longer than needed, so that several elements must be shared.
 EXTRA = Fraction(1, 20)
+#: Elements at most that are known to stand in very many classes.
+COMMON = 1000
 _SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -114,17 +116,30 @@ def candidates_left(sets: DataFrame, names: DataFrame, t: Fraction) -> DataFrame
     """Classes that can have a partner: (rep, n, central)."""
     first = names.select("rep", "id", F.col("fa").alias("_a"), F.col("fb").alias("_b"))
     own = sets.where("n > 0").select("doc_id", "fa", "fb", "p1").join(first, (F.col("doc_id") == F.col("id")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
-    hits = shared_only(own.select("rep", F.explode("p1").alias("x"))).groupBy("rep").agg(F.count(F.lit(1)).alias("hits"))
+    common = common_elements(sets.where("n > 0").select(F.xxhash64("fa", "fb").alias("rep"), "p1"))
+    hits = shared_only(own.select("rep", F.explode("p1").alias("x")), common).groupBy("rep").agg(F.count(F.lit(1)).alias("hits"))
     need = F.ceil(F.col("n") * F.lit(t.numerator) / F.lit(t.denominator) - 1e-9)
     # the guard for rounding keeps a class rather than lose one
     return hits.join(names.select("rep", "n"), "rep").where(F.col("hits") >= 1 + F.floor(need * float(EXTRA) - 1e-6)).select("rep", "n", (F.col("hits") / F.col("n")).alias("central"))
 
 
-def shared_only(e: DataFrame) -> DataFrame:
-    """The rows of e (rep, x, ...) whose x stands in several classes. One exchange by x serves the count and the join."""
-    r = e.repartition("x")
-    two = r.groupBy("x").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("x")
-    return r.join(two, "x")
+def common_elements(sets: DataFrame) -> DataFrame:
+    """(x, common) of the COMMON elements at most that stand in the most classes, going by one class in 64 of sets (rep, p1).
+
+    Each stands in 8 of those at least, so it is shared. Which ones are found decides on how work is dealt out, not on results."""
+    one = sets.where(F.pmod("rep", F.lit(64)) == 0).dropDuplicates(["rep"]).select(F.explode("p1").alias("x"))
+    most = one.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c >= 8").orderBy(F.desc("c"), "x").limit(COMMON)
+    return stored(most.select("x", F.lit(True).alias("common")), "common")
+
+
+def shared_only(e: DataFrame, common: DataFrame) -> DataFrame:
+    """The rows of e (rep, x, ...) whose x stands in several classes.
+
+    One exchange by x. Rows of common elements are shared in any case, and spread over the tasks."""
+    d = e.join(F.broadcast(common), "x", "left").withColumn("_part", F.when(F.col("common"), F.pmod(F.xxhash64("rep"), F.lit(1024))))
+    w = W.partitionBy("x", "_part")
+    d = d.withColumn("_lo", F.min("rep").over(w)).withColumn("_hi", F.max("rep").over(w))
+    return d.where(F.col("common") | (F.col("_lo") != F.col("_hi"))).drop("common", "_part", "_lo", "_hi")
 
 
 def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEPTH) -> DataFrame:
@@ -188,13 +203,13 @@ def links(d: DataFrame, t: Fraction) -> DataFrame:
     """Merge the classes of d (rep, n, central, p1, p2, p3, tokens): (rep, component) of those that link."""
     need = lambda n: F.ceil(n * F.lit(t.numerator) / F.lit(t.denominator) - 1e-9)
     sure = lambda n: 1 + F.floor(n * float(EXTRA) - 1e-6)
-    e = stored(shared_only(d.select("rep", "n", "central", F.explode("p1").alias("x"))), "prefixes")
-    sets = d.select("rep", "n", "p2", "p3", "tokens")
+    common = common_elements(d.select(F.xxhash64("rep").alias("rep"), "p1"))
+    e = stored(shared_only(d.select("rep", "n", "central", F.explode("p1").alias("x")), common), "prefixes")
+    sets = d.select("rep", "tokens")
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for step in range(ROUNDS + 1):
         g = e.withColumn("label", F.col("rep")) if labels is None else e.join(labels, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        g = g.repartition("x")
         near = (F.col("na") >= need(F.col("nb"))) & (F.col("nb") >= need(F.col("na")))
         if step < ROUNDS:
             rank = F.struct(*([(-F.col("central")).alias("k")] if not step else []), F.xxhash64("rep", F.lit(step)).alias("h"), "rep", "n", "label")
@@ -214,13 +229,16 @@ def links(d: DataFrame, t: Fraction) -> DataFrame:
             pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"), F.greatest(F.coalesce(F.max("da"), F.lit(0)), F.coalesce(F.max("db"), F.lit(0))).alias("lost"))
             pairs = pairs.where(F.col("c") + F.col("lost") >= F.least(sure(need(F.col("nb"))), sure(need(F.col("na"))))).drop("c", "lost")
             if not members.isEmpty():
-                pairs = pairs.unionByName(hot_pairs(members, sets.select("rep", "tokens"), t)).distinct()
-        pairs = stored(pairs.select("a", "na", "b", "nb"), "pairs")
-        side = lambda k: sets.select(F.col("rep").alias(k), *[F.col(c).alias(c + k) for c in ("p2", "p3", "tokens")])
-        j = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b"))
+                pairs = pairs.unionByName(hot_pairs(members, sets, t)).distinct()
+        # pairs must meet under the other orders before any whole set is read
+        first = stored(pairs.select("a", "na", "b", "nb"), "pairs")
+        side = lambda k, *cols: d.select(F.col("rep").alias(k), *[F.col(c).alias(c + k) for c in cols])
+        j = first.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b").where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b"))
+        pairs = stored(j.select("a", "na", "b", "nb"), "pairs")
+        j = pairs.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
         both = F.size(F.array_intersect("tokensa", "tokensb")).cast("long")
         new = stored(j.where(both * t.denominator >= (F.col("na") + F.col("nb") - both) * t.numerator).select("a", "b"), "links")
-        release(d.sparkSession)
+        drop_stored(first, pairs)
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             labels = stored(components(found).select(F.col("node").alias("rep"), "component"), "labels")
@@ -235,15 +253,13 @@ def labelled(docs: DataFrame, words: int, threshold: float | str) -> DataFrame:
     left = stored(candidates_left(long, names, t), "left")
     sets = stored(long.select("doc_id", "th", "n", "fa", "fb"), "classes")
     drop_stored(long)
-    del long
-    release(docs.sparkSession)
     # the class decides, not the id alone: rows of one id may have different texts
     mine = left.select("rep", "central").join(names.select("rep", "id", F.col("fa").alias("_a"), F.col("fb").alias("_b")), "rep")
     whole = sets_of(docs, words, t, bit_set(mine, "id"), whole=True).where("doc_id is not null and n > 0")
     d = whole.join(mine, (F.col("doc_id") == F.col("id")) & (F.col("fa") == F.col("_a")) & (F.col("fb") == F.col("_b")))
-    one = F.row_number().over(W.partitionBy("rep").orderBy("th"))
-    d = stored(d.select("rep", "n", "central", "p1", "p2", "p3", "tokens", "th").withColumn("_r", one).where("_r = 1").drop("_r", "th"), "whole")
-    release(docs.sparkSession)
+    # a class has one (id, fa, fb), so equal rows stand together after the join already
+    one = F.row_number().over(W.partitionBy("doc_id", "fa", "fb").orderBy("th"))
+    d = stored(d.withColumn("_r", one).where("_r = 1").select("rep", "n", "central", "p1", "p2", "p3", "tokens"), "whole")
     labels = links(d, t)
     # Components whose name isn't the smallest id, as hashes were among their classes' names.
     m = F.min(F.struct("id", "th", "rep")).alias("m")
