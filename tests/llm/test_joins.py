@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import pytest
@@ -266,6 +267,35 @@ def test_repeats_are_found_over_all_pages_of_a_host(spark, monkeypatch, pages, c
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_repeats_do_not_depend_on_partitions(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    one, many = (sorted(map(tuple, html_extract.extract(pages.repartition(n)).collect())) for n in (1, 7))
+    assert one == many and len(one) == pages.count()
+    assert sum(r[4] for r in one) > 0  # the repeats, not the marks alone, take furniture away
+
+
+def test_repeats_remove_marked_and_unmarked_furniture_alike(spark):
+    menu = "home news weather sport culture science travel money style"
+    rows = [(i, f"http://h.example/{i}", f"<{tag}>{menu}</{tag}><article><p>text {i}</p><{tag} class='legal'>clause {i} of the contract stays</{tag}></article>") for i, tag in enumerate(["nav", "div", "section", "div"])]
+    got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["n_repeated"] == 9 for i in got)
+    assert got[1]["text"] == "text 1\n\nclause 1 of the contract stays" and got[0]["text"] == "text 0"
+
+
+def test_articles_lose_no_text():
+    article = '<article><p>a</p><div class="legal">b</div><p><math><mi>c</mi></math> <label>d</label></p><div class="notice">e</div><p class="menu">f</p><map>g</map></article>'
+    assert html_extract.blocks_of(article) == [(x, True) for x in ("a", "b", "c d", "e", "f", "g")]
+    assert html_extract.blocks_of('<p title=it\'s>don\'t</p><p title="never closed>kept</p>') == [("don't", False), ("kept", False)]
+    assert html_extract.blocks_of("<p>&#" + "9" * 6000 + "; &#00000000065; &#x0000000041;") == [("\ufffd A A", False)]
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a "' * 250_000, "<a ='" * 200_000 + ">", "<b>" * 170_000 + "</i>" * 120_000, "<b>" * 100_000 + "<p></p>" * 100_000, "<!" * 500_000, "<![CDATA[" * 100_000, "<script" * 140_000, "</" * 500_000, "&#" * 500_000, "<a x=\">\" " * 100_000, "<" * 1_000_000])
+def test_broken_markup_takes_linear_time(page):
+    began = time.process_time()
+    html_extract.all_blocks(page)
+    assert time.process_time() - began < 2
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=4))
 def test_repeated_runs(pages):
