@@ -104,6 +104,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """docs as one struct column _row: whatever docs' columns are called, they don't clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def of_rows(docs: DataFrame) -> list[Column]:
+    """docs' columns out of _row."""
+    return [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+
+
 def global_rank(df: DataFrame, group: list[str], order: list[Column], bucket: Column, out: str) -> DataFrame:
     """0-based gapless rank of each row in its group by (bucket, *order).
 
