@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import BITS, bit_set, drop_stored, stored
+from keystrata.llm.common import BITS, as_rows, bit_set, drop_stored, of_rows, spread, stored
 from keystrata.llm.graph import components
 from keystrata.llm.text_hash import fmix, give_back, shingles, word_hashes
 
@@ -51,6 +51,8 @@ SPARE = 4 * HOT
 EXTRA = Fraction(1, 20)
 #: Elements at most that are known to stand in very many classes.
 COMMON = 1000
+#: Parts that the classes of a component are spread over.
+SPREAD = 16
 _SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -100,7 +102,7 @@ def sets_of(docs: DataFrame, words: int, t: Fraction, only: bytes | None = None,
         return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, th long, n long, fa long, fb long, p1 array<long>" + (", tokens array<long>, p2 array<long>, p3 array<long>" if whole else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))).mapInPandas(run, schema)
 
 
 def named_classes(sets: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEP
        pairs (M, B) with s(M) + s(B) <= 0 suffice for these.
      - Else d(A) and d(B) share o >= (s(A) + s(B)) / 2 elements. Let s(B) <= s(A); A isn't among the above, so s(A) > -s(M)
        too. Of the elements of d(B) that stand in other differences, by growing number of those, all but the last o - 1
-       hold a shared one. Where classes that meet in one make more than SPARE pairs each, they are a group again, DEPTH times at most: a text with
+       hold a shared one, and those found there and the others must reach o together. Where classes that meet in one make more than SPARE pairs each, they are a group again, DEPTH times at most: a text with
        many variants, inside a larger group around a passage that all of them quote, then has an R of its own.
     s is counted in units of 1 / (1 + t), scaled to integers."""
     up, down = t.denominator - t.numerator, t.denominator + t.numerator
@@ -169,8 +171,8 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEP
     e = stored(e.join(d.drop("d"), ["c", "rep"]).join(least.select("c", F.col("m.s").alias("ms")), "c"), "shared")
     o = F.greatest(F.ceil((F.greatest(F.col("s"), 1 - F.col("ms")) + F.col("s")) / F.lit(2 * down) - 1e-9), F.lit(1))
     first = F.greatest((F.size("k") - o + 1).cast("int"), F.lit(0))
-    at = e.select("c", "rep", "n", "label", "s", (F.col("s") > -F.col("ms")).alias("probe"), first.alias("first"), F.posexplode("k").alias("i", "k"))
-    at = stored(at.select("c", F.col("k.e").alias("e"), "rep", "n", "label", "s", "probe", (F.col("i") < F.col("first")).alias("index")).where("probe or index"), "at")
+    at = e.select("c", "rep", "n", "label", "s", (F.col("s") > -F.col("ms")).alias("probe"), o.cast("long").alias("o"), first.alias("first"), F.posexplode("k").alias("i", "k"))
+    at = stored(at.select("c", F.col("k.e").alias("e"), "rep", "n", "label", "s", "o", "probe", (F.col("i") < F.col("first")).alias("index")).where("probe or index"), "at")
     key = at.groupBy("c", "e").agg(F.count(F.lit(1)).alias("size"), F.count_if("index").alias("i"), F.count_if("probe").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("leader"))
     at = at.join(key.where("i > 0 and p > 0 and lo != hi").select("c", "e", (F.col("i") * F.col("p") > SPARE * F.col("size")).alias("hot"), F.col("leader.rep").alias("leader")), ["c", "e"])
     if depth:
@@ -178,9 +180,12 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEP
         at = at.where("not hot")
         if not again.isEmpty():
             star = star.unionByName(hot_pairs(again, sets, t, depth - 1))
-    index, probe = (at.where(x).select("c", "e", *[F.col(k).alias(k[0] + y) for k in ("rep", "n", "s", "label")]) for x, y in (("index", "b"), ("probe", "a")))
+    index, probe = (at.where(x).select("c", "e", *[F.col(k).alias(k[0] + y) for k in ("rep", "n", "s", "label", "o")]) for x, y in (("index", "b"), ("probe", "a")))
     near = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
     found = index.join(probe, ["c", "e"]).where((F.col("la") != F.col("lb")) & ((F.col("sb") < F.col("sa")) | (F.col("sb") == F.col("sa")) & (F.col("rb") < F.col("ra"))) & near)
+    # what B doesn't index adds at most o - 1 elements to those found; where a hot element is shared too, the group of that one has the pair
+    found = found.groupBy("c", "ra", "na", "rb", "nb", "sa", "sb", "ob").agg(F.count(F.lit(1)).alias("both"))
+    found = found.where(F.col("both") + F.col("ob") - 1 >= F.ceil((F.col("sa") + F.col("sb")) / F.lit(2 * down) - 1e-9))
     return stored(star.unionByName(found.select(F.col("ra").alias("a"), "na", F.col("rb").alias("b"), "nb")).distinct(), "hot-pairs")
 
 
@@ -264,8 +269,9 @@ def labelled(docs: DataFrame, words: int, threshold: float | str) -> DataFrame:
     # Components whose name isn't the smallest id, as hashes were among their classes' names.
     m = F.min(F.struct("id", "th", "rep")).alias("m")
     other = names.join(labels, "rep").groupBy("component").agg(m).where((F.col("m.id") != F.col("component")) | (F.col("m.rep") != F.col("component")))
-    other = other.select(F.col("component").alias("_c"), F.col("m.id").alias("_id"), F.col("m.rep").alias("_rep"))
-    named = names.join(labels, "rep", "left").join(other, F.col("component") == F.col("_c"), "left")
+    # A component may hold most classes: its classes are spread over SPREAD tasks.
+    other = other.select(F.col("component").alias("_c"), F.col("m.id").alias("_id"), F.col("m.rep").alias("_rep"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_p"))
+    named = names.join(labels, "rep", "left").join(other, (F.col("component") == F.col("_c")) & (F.pmod(F.xxhash64("rep"), F.lit(SPREAD)) == F.col("_p")), "left")
     head = F.col("rep") == F.coalesce("_rep", "component", "rep")
     # a class of its own is named by its id, whatever the class's name
     named = named.select(F.col("fa").alias("_a"), F.col("fb").alias("_b"), F.coalesce("_id", "component", "id").alias("component"), F.when(head, F.struct("id", F.col("th").alias("th"))).alias("head"))
@@ -284,7 +290,7 @@ def one_of_each(docs: DataFrame, words: int = 5, threshold: float | str = "0.8")
     """docs with one row of each component, one of its smallest id; equal rows of one id are kept once. Rows with a null id stay, and so
     do texts without words."""
     n = labelled(docs, words, threshold).where("not first").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_t")).distinct()
-    d = docs.withColumn("_th", F.xxhash64("text"))
-    kept = d.join(n, (F.col("doc_id").cast("long") == F.col("_gone")) & (F.col("_th") == F.col("_t")), "left_anti")
-    w = W.partitionBy("doc_id", "_th").orderBy("_th")
-    return kept.withColumn("_r", F.row_number().over(w)).where(F.col("doc_id").isNull() | (F.col("_r") == 1)).select(*docs.columns)
+    d = as_rows(docs).select("_row", F.col("_row.doc_id").cast("long").alias("_id"), F.xxhash64("_row.text").alias("_th"))
+    kept = d.join(n, (F.col("_id") == F.col("_gone")) & (F.col("_th") == F.col("_t")), "left_anti")
+    w = W.partitionBy("_id", "_th").orderBy("_th")
+    return kept.withColumn("_r", F.row_number().over(w)).where(F.col("_id").isNull() | (F.col("_r") == 1)).select(*of_rows(docs))
