@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import WORD, global_rank, stored
+from keystrata.llm.common import WORD, as_rows, global_rank, of_rows, spread, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Blocks have at most this many words; a small source is cut finer, into MIN_BLOCKS blocks at least.
@@ -88,7 +88,7 @@ def _placed(sized: DataFrame, sources: pd.DataFrame) -> DataFrame:
 
 def sized_documents(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    return spread(docs.select("doc_id", "source", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeats: int = 3, block: int = BLOCK_WORDS) -> DataFrame:
@@ -112,14 +112,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repea
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeats: int = 3) -> DataFrame:
     """The mix as documents, with docs' columns: each row as often as the block with its first word is taken."""
-    text, cols = F.coalesce(F.col("text"), F.lit("")), docs.columns
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
     m = mix(docs, weights, max_repeats).where("copies > 0")
     # Equal rows (same id, source, size) may differ in their copies: their sum is dealt out evenly by row number.
-    key = [F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_s"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_n")]
+    key = [F.col("_row.doc_id").cast("long").alias("_id"), F.col("_row.source").cast("string").alias("_s"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_n")]
     order = W.partitionBy("_id", "_s", "_n").orderBy("_x")
-    left = docs.select("*", *key, F.xxhash64(text).alias("_x")).withColumn("_r", F.row_number().over(order))
-    right = m.select(F.col("doc_id").alias("_id2"), F.col("source").alias("_s2"), F.col("size").alias("_n2"), "copies").withColumn("_r2", F.row_number().over(W.partitionBy("_id2", "_s2", "_n2").orderBy("copies")))
+    left = spread(as_rows(docs)).select("_row", *key, F.xxhash64(text).alias("_x")).withColumn("_r", F.row_number().over(order))
+    right = m.select(F.col("doc_id").alias("_id2"), F.col("source").alias("_s2"), F.col("size").alias("_n2"), F.col("copies").alias("_copies")).withColumn("_r2", F.row_number().over(W.partitionBy("_id2", "_s2", "_n2").orderBy("_copies")))
     j = left.join(right, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_n") == F.col("_n2")) & (F.col("_r") == F.col("_r2")))
-    return j.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(c) for c in cols])
-
-
+    return j.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*of_rows(docs))

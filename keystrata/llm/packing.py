@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import global_rank, stored
+from keystrata.llm.common import global_rank, spread, stored
 from keystrata.llm.text_hash import give_back
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -89,7 +89,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInPandas(run, SCHEMA)
 
 
 def reduce_dominated(counts: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:

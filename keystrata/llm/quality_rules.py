@@ -12,12 +12,13 @@ list, which keeps what the base rule passes; repeated rows are judged each; othe
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import WORD, let, stored
+from keystrata.llm.common import WORD, as_rows, let, of_rows, spread, stored
 
 #: At most this many labelled rows, those of least hash, are used to learn.
 SAMPLE = 4_000
@@ -107,11 +108,23 @@ def _cuts(rows: list[dict], n: int = 32) -> list[Condition]:
     return out
 
 
+def _parts(rows: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Two thirds to grow rules on and a third to prune them, of either class alike and by a hash, so that no order of the rows matters."""
+    parts: tuple[list[dict], list[dict]] = ([], [])
+    for good in (True, False):
+        own = sorted((r for r in rows if bool(r["good"]) == good), key=lambda r: (zlib.crc32(repr([r[f] for f in FEATURES]).encode()), [r[f] for f in FEATURES]))
+        for i, r in enumerate(own):
+            parts[i % 3 == 1].append(r)
+    return parts
+
+
 def learn(rows: list[dict], max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, least: int = 5) -> list[Rule]:
-    """Ordered rules for bad rows (label 0) from dicts of FEATURES and "good"."""
-    left, rules = list(rows), []
-    while len(rules) < max_rules and any(not r["good"] for r in left):
-        grow, prune = [r for i, r in enumerate(left) if i % 3], left[::3]
+    """Ordered rules for bad rows (label 0) from dicts of FEATURES and "good".
+
+    A rule of too little precision is dropped, and the bad rows that it covers are sought no more; the others still are."""
+    left, rules, dropped = list(rows), [], 0
+    while len(rules) < max_rules and dropped < max_rules and any(not r["good"] for r in left):
+        grow, prune = _parts(left)
         covered, conditions = grow, []
         cuts = _cuts(grow)
         while len(conditions) < max_conditions and any(r["good"] for r in covered):
@@ -130,15 +143,17 @@ def learn(rows: list[dict], max_rules: int = 8, max_conditions: int = 3, precisi
         if not conditions:
             break
 
-        def worth(cs: tuple[Condition, ...], rows: list[dict] = prune) -> float:
+        def worth(cs: tuple[Condition, ...], rows: list[dict] = prune) -> tuple[float, int]:
             inside = [r["good"] for r in rows if all(c.holds(r) for c in cs)]
-            return (len(inside) - 2 * sum(inside)) / len(inside) if inside else -1.0
+            return ((len(inside) - 2 * sum(inside)) / len(inside), len(inside) - sum(inside)) if inside else (-1.0, 0)
 
         best_cut = max(range(len(conditions), 0, -1), key=lambda k: worth(tuple(conditions[:k])))
         rule = Rule(tuple(conditions[:best_cut]))
         inside = [r["good"] for r in left if rule.holds(r)]
         if len(inside) < least or 1 - sum(inside) / len(inside) < precision:
-            break
+            dropped += 1
+            left = [r for r in left if r["good"] or not rule.holds(r)]
+            continue
         rules.append(rule)
         left = [r for r in left if not rule.holds(r)]
     return rules
@@ -169,11 +184,12 @@ def verdict(rules: list[Rule], prefix: str = "_s_") -> Column:
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, STATS, base_failed, kept) of every document."""
     rules = fit(docs, labels, sample)
-    d = with_stats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_t")), "_t")
+    d = with_stats(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_t"))), "_t")
     return d.select("doc_id", *[F.col("_s_" + c).alias(c) for c in STATS], base_failed().alias("base_failed"), verdict(rules).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without the rejected rows, with docs' columns."""
     rules = fit(docs, labels, sample)
-    return with_stats(docs).where(verdict(rules)).select(*docs.columns)
+    d = as_rows(spread(docs)).select("_row", F.col("_row.text").cast("string").alias("_t"))
+    return with_stats(d, "_t").where(verdict(rules)).select(*of_rows(docs))
