@@ -1,20 +1,26 @@
 """URL filter: host and path rules first, then pattern rules found through their rarest literal token.
 
-Every pattern rule names literal tokens (lower-case runs of letters and digits) that any URL it matches must hold. It
-is indexed under the one that the fewest URLs of the corpus hold. A URL's tokens fetch candidate rules from that index, and
-only those run their regular expression.
+Every pattern rule names literal tokens (lower-case runs of letters and digits) that any URL it matches must hold; what has
+alternatives is a rule for each. A rule is indexed under the one of its tokens that the fewest URLs of the corpus hold. The
+index is a constant hash table in the plan: a URL's tokens each look up one bucket, which gives the numbers of the candidate rules, and only
+those run their regular expression. What a URL costs doesn't grow with rules whose token it doesn't hold.
 
 Defined cases: a null URL or one without "://" has an empty host and path, fits no rule and is allowed by the patterns
-unless one matches its text; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
+unless one matches its text; rules without a literal run on every URL; repeated rows give repeated rows; an empty table gives no rows;
+other columns are ignored. Expressions have no nested repeats, so they take time in proportion to the URL.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.llm.common import let
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,17 +36,22 @@ class Pattern:
 #: (verdict, host, path): fits the host and all its subdomains where the path starts with path.
 HOST_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+START, END, GAP = r"(^|[^a-z0-9])", r"([^a-z0-9]|$)", r"[^a-z0-9]+"
+
+
+def words(verdict: str, *terms: str) -> list[Pattern]:
+    """A rule for each term: its words as whole tokens, one behind the other."""
+    return [Pattern(verdict, START + GAP.join(t.split()) + END, tuple(dict.fromkeys(t.split()))) for t in terms]
+
+
+#: Terms of gambling, drugs, adult pages and traps for crawlers, and what is allowed in spite of them.
 PATTERNS = [
-    Pattern("block", r"(^|[^a-z0-9])casino[^a-z0-9]+win([^a-z0-9]|$)", ("casino", "win")),
-    Pattern("block", r"(^|[^a-z0-9])(online[^a-z0-9]+)?casino([^a-z0-9]|$)", ("casino",)),
-    Pattern("block", r"(^|[^a-z0-9])poker[^a-z0-9]+bonus([^a-z0-9]|$)", ("poker", "bonus")),
-    Pattern("block", r"(^|[^a-z0-9])free[^a-z0-9]+(spins|bets)([^a-z0-9]|$)", ("free",)),
-    Pattern("block", r"(^|[^a-z0-9])(buy|cheap)[^a-z0-9]+(viagra|cialis)([^a-z0-9]|$)", ()),
-    Pattern("block", r"(^|[^a-z0-9])porn([^a-z0-9]|$)", ("porn",)),
-    Pattern("block", r"(^|[^a-z0-9])xxx([^a-z0-9]|$)", ("xxx",)),
-    Pattern("block", r"/wp[^a-z0-9]login[^a-z0-9]php([^a-z0-9]|$)", ("wp", "login", "php")),
-    Pattern("block", r"[?&]action=login([^a-z0-9]|$)", ("action", "login")),
-    Pattern("allow", r"(^|[^a-z0-9])casino[^a-z0-9]+(museum|history)([^a-z0-9]|$)", ("casino",)),
+    *words("block", "casino", "casino win", "casino bonus", "online casino", "poker bonus", "free spins", "free bets", "sports betting", "slot machine", "slot machines", "roulette", "jackpot"),
+    *words("block", *(f"{how} {what}" for what in ("viagra", "cialis", "xanax", "tramadol", "steroids") for how in ("buy", "cheap", "order"))),
+    *words("block", "porn", "xxx", "hentai", "escorts", "camgirls", "payday loan", "payday loans", "replica watches", "essay writing service"),
+    *words("block", "wp login php", "wp admin", "xmlrpc php", "phpmyadmin", "cgi bin", "add to cart", "session id"),
+    *[Pattern("block", rf"[?&]action={x}{END}", ("action", x)) for x in ("login", "logout", "register", "edit")],
+    *words("allow", "casino museum", "casino history", "casino royale film", "porn addiction help", "gambling help"),
 ]
 
 
@@ -51,32 +62,44 @@ def tokens(url: Column) -> Column:
 def rarest_index(df: DataFrame, url: str, patterns: list[Pattern]) -> dict[str, list[Pattern]]:
     """Patterns by their rarest literal over all URLs; "" holds those without a literal. One count a literal comes to the driver."""
     literals = sorted({x for p in patterns for x in p.literals})
-    held = df.select(tokens(F.col(url)).alias("_t")).agg(*[F.count_if(F.array_contains("_t", x)).alias(f"c{i}") for i, x in enumerate(literals)]).first() if literals else ()
-    seen = dict(zip(literals, held, strict=True))
+    seen = dict.fromkeys(literals, 0)
+    if literals:
+        held = df.select(F.explode(tokens(F.col(url))).alias("_t")).where(F.col("_t").isin(literals)).groupBy("_t").agg(F.count(F.lit(1)).alias("_c"))
+        seen |= {r["_t"]: r["_c"] for r in held.collect()}
     index: dict[str, list[Pattern]] = {}
     for p in patterns:
         index.setdefault(min(p.literals, key=lambda x: (seen[x], x)) if p.literals else "", []).append(p)
     return index
 
 
+def candidates(words: Column, index: dict[str, list[Pattern]], patterns: list[Pattern]) -> Column:
+    """Numbers of the rules that a URL's tokens fetch, with those that have no literal."""
+    number = {id(p): i for i, p in enumerate(patterns)}
+    entries = {t: [number[id(p)] for p in rules] for t, rules in index.items() if t}
+    size = max(1, len(entries))
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for t, rules in sorted(entries.items()):
+        buckets[zlib.crc32(t.encode()) % size].append({"t": t, "r": rules})
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<t:string,r:array<int>>>>")  # a constant: folded when planned
+    bucket = lambda t: F.get(table, (F.crc32(t.cast("binary")) % size).cast("int"))
+    found = F.flatten(F.flatten(F.transform(words, lambda t: F.transform(F.filter(bucket(t), lambda x: x["t"] == t), lambda x: x["r"]))))
+    always = [number[id(p)] for p in index.get("", [])]
+    return F.concat(found, F.array(*map(F.lit, always))) if always else found
+
+
 def pattern_verdict(df: DataFrame, url: str, patterns: list[Pattern]) -> Column:
     """allow or block: an allowing pattern beats blocking ones; without a match a URL is allowed."""
-    index = rarest_index(df, url, patterns)
-    low, words = F.translate(F.coalesce(F.col(url), F.lit("")), UPPER, LOWER), tokens(F.col(url))
-
-    def matched(verdict: str) -> Column:
-        found = F.lit(False)
-        for literal, rules in sorted(index.items()):
-            own = [p.regex for p in rules if p.verdict == verdict]
-            if own:
-                hit = F.lit(False)
-                for regex in own:
-                    hit = hit | low.rlike(regex)
-                # && stops at the index: the expression runs for URLs that hold the literal only.
-                found = found | (hit if literal == "" else F.array_contains(words, literal) & hit)
-        return found
-
-    return F.when(matched("allow"), "allow").when(matched("block"), "block").otherwise("allow")
+    if not patterns:
+        return F.lit("allow")
+    low = F.translate(F.coalesce(F.col(url), F.lit("")), UPPER, LOWER)
+    regex = F.from_json(F.lit(json.dumps([p.regex for p in patterns])), "array<string>")
+    allows = F.from_json(F.lit(json.dumps([p.verdict == "allow" for p in patterns])), "array<boolean>")
+
+    def judged(rules: Column) -> Column:
+        hit = lambda i: F.rlike(low, F.get(regex, i))
+        return F.when(F.exists(rules, lambda i: F.get(allows, i) & hit(i)), "allow").when(F.exists(rules, lambda i: ~F.get(allows, i) & hit(i)), "block").otherwise("allow")
+
+    return let(candidates(tokens(F.col(url)), rarest_index(df, url, patterns), patterns), judged)
 
 
 def filter_urls(df: DataFrame, key: str, url: str, rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:

@@ -186,6 +186,22 @@ def test_url_rules(spark):
     assert sum(map(len, index.values())) == len(url_filter.PATTERNS)
 
 
+def test_url_tokens_fetch_few_of_many_rules(spark):
+    many = url_filter.words("block", *(f"term{i} other{i % 7}" for i in range(3000)))
+    rules = [*url_filter.PATTERNS, *many, url_filter.Pattern("block", "\\.exe$", ())]
+    urls = ["http://a.org/" + x for x in ("term5-other5", "term5-other6", "x/term2999/other3", "plain/page", "casino", "casino-museum/term1-other1", "file.exe")] + ["http://a.org/" + "a1/" * 50_000, None]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    index = url_filter.rarest_index(d, "url", rules)
+    fetched = [r[0] for r in d.orderBy("page_id").select(url_filter.candidates(url_filter.tokens(F.col("url")), index, rules)).collect()]
+    assert [len(x) for x in fetched[:4]] == [2, 1, 2, 1] and max(map(len, fetched)) < 25  # of 3,000 and more
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(d, "page_id", "url", (), rules).collect()}
+    want = {}
+    for i, u in enumerate(urls):
+        hits = [p.verdict for p in rules if re.search(p.regex, (u or "").lower())]
+        want[i] = "allow" if "allow" in hits or not hits else "block"
+    assert got == want and set(got.values()) == {"allow", "block"}
+
+
 @pytest.mark.parametrize("n", [0, 3, 700])
 def test_top_k(spark, n):
     rng = np.random.default_rng(n)
