@@ -6,6 +6,10 @@ after what was read, or null (and value null) where the bytes are cut short or t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,18 +104,70 @@ def _crc_table() -> list[int]:
 _TABLE = _crc_table()
 
 
+_WORDS = np.array(_TABLE, np.uint32)
+#: Long values are cut into stretches of this many bytes that are summed side by side.
+_STRETCH = 1024
+
+
+def _columns(state: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The states after each has taken its row of bytes, a column of all rows at a time."""
+    for c in range(rows.shape[1]):
+        state = _WORDS[(state ^ rows[:, c]) & np.uint32(255)] ^ (state >> np.uint32(8))
+    return state
+
+
+@cache
+def _after_zeros() -> np.ndarray:
+    """Four tables: what each byte of a state becomes after _STRETCH zero bytes; a state's bytes add up by xor."""
+    bits = _columns(np.uint32(1) << np.arange(32, dtype=np.uint32), np.zeros((32, _STRETCH), np.uint8))
+    out = np.zeros((4, 256), np.uint32)
+    for byte in range(4):
+        for b in range(8):
+            out[byte][np.arange(256) >> b & 1 == 1] ^= bits[8 * byte + b]
+    return out
+
+
+def crc32c_many(values: Sequence[bytes]) -> np.ndarray:
+    """Castagnoli checksums of all values; Spark's crc32 has another polynomial.
+
+    Table look-ups run down columns of bytes: over all values' first bytes (less than a stretch each), longest values first, and over all
+    whole stretches of long values, whose states are then joined."""
+    n = np.array([len(v) for v in values], np.int64)
+    head = n % _STRETCH
+    order = np.argsort(-head, kind="stable")
+    data = np.frombuffer(b"".join(values), np.uint8)
+    start = np.cumsum(n) - n
+    state = np.full(len(n), 0xFFFFFFFF, np.uint32)
+    sizes = head[order]
+    for c in range(int(sizes[0]) if len(n) else 0):
+        live = order[: np.searchsorted(-sizes, -c, "left")]
+        state[live] = _WORDS[(state[live] ^ data[start[live] + c]) & np.uint32(255)] ^ (state[live] >> np.uint32(8))
+    for i in np.flatnonzero(n >= _STRETCH):
+        at = start[i] + head[i]
+        parts = data[at : start[i] + n[i]].reshape(-1, _STRETCH)
+        zero, c = _after_zeros(), int(state[i])
+        for x in _columns(np.zeros(len(parts), np.uint32), parts).tolist():
+            c = int(zero[0, c & 255] ^ zero[1, c >> 8 & 255] ^ zero[2, c >> 16 & 255] ^ zero[3, c >> 24]) ^ x
+        state[i] = c
+    return state ^ np.uint32(0xFFFFFFFF)
+
+
 def crc32c_of(data: bytes) -> int:
-    """Castagnoli checksum; Spark's crc32 has another polynomial."""
-    c = 0xFFFFFFFF
-    for b in data:
-        c = _TABLE[(c ^ b) & 255] ^ (c >> 8)
-    return c ^ 0xFFFFFFFF
+    return int(crc32c_many([data])[0])
 
 
 def crc32c(b: Column) -> Column:
-    """crc32c_of a binary column, in Arrow batches; null stays null."""
+    """The Castagnoli checksum of a binary column, a batch at a time; null stays null."""
 
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else crc32c_of(bytes(v))).astype("Int64")
+        there = x.notna().to_numpy()
+        out = pd.Series(pd.array([None] * len(x), "Int64"), index=x.index)
+        out[there] = crc32c_many([bytes(v) for v in x[there]]).astype(np.int64)
+        return out
 
     return F.pandas_udf(run, "long")(b)
+
+
+def murmur(b: Column) -> Column:
+    """A 32-bit Murmur hash of a binary column, as Spark's own (Murmur3, seed 42)."""
+    return F.hash(b)

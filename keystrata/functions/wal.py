@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keystrata.functions.coding import crc32c_of
 
@@ -93,3 +94,16 @@ def read_logs(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["path", "ordinal", "record", "error"]).astype({"ordinal": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, "path string, ordinal long, record binary, error string")
+
+
+def write_logs(records: DataFrame, path: str, order: str, record: str) -> DataFrame:
+    """(path, content): a log file's content for each value of the column `path`, its records in `order`; a task a file, so what one
+    file holds has to fit into a task's memory."""
+    import pandas as pd
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("o", kind="stable")
+        return pd.DataFrame({"path": [key[0]], "content": [frame(bytes(r) for r in rows["r"])]})
+
+    d = records.select(F.col(path).cast("string").alias("path"), F.col(order).alias("o"), F.col(record).cast("binary").alias("r"))
+    return d.groupBy("path").applyInPandas(run, "path string, content binary")

@@ -14,9 +14,11 @@ from keystrata.operators import compaction, cursor, versions
 SNAPSHOT, RUN, BATCH, FLUSH = 5000, 1000, 64, 16384
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log(spark: SparkSession, sf_dir: str, user: int | None = None) -> DataFrame:
+    """The whole log, or that of one user: the key is computed from the id, so the id itself has to be asked for where the scan shall skip others."""
     put = F.col("event_type") != "error"
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e if user is None else e.where(F.col("user_id") == user)
     return e.select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("key"), F.col("event_id").alias("seq"), put.alias("is_put"), F.when(put, F.col("props")).alias("value"))
 
 
@@ -41,8 +43,25 @@ def _prefix_shared(d: DataFrame) -> DataFrame:
     return n.select(F.col("key").alias("k"), "pos", F.when(F.col("pos") % 16 == 0, F.lit(0)).otherwise(coding.shared_prefix(F.col("key"), F.col("prev_key"))).alias("shared"))
 
 
+#: Values of more than four and of up to four varint bytes.
+_WIDE, _NARROW = 1_000_003, 20_011
+
+
+def _varint_decode(d: DataFrame) -> DataFrame:
+    wide, narrow = coding.varint(F.col("seq") * _WIDE), coding.varint(F.col("seq") * _NARROW)
+    cut = coding.read_varint(F.substring(wide, F.lit(1), F.octet_length(wide) - 1))
+    return d.select("seq", F.hex(wide).alias("encoded"), coding.read_varint(wide)["value"].alias("decoded"), coding.read_varint(narrow, bits=32)["value"].alias("decoded32"), cut["value"].isNull().alias("short_is_refused"))
+
+
+def _length_prefixed_read(d: DataFrame) -> DataFrame:
+    """Two strings, one behind the other, read one after the other; a third isn't there."""
+    key, value = F.col("key").cast("binary"), F.repeat("value", 12).cast("binary")
+    d = d.where("is_put").withColumn("b", F.concat(coding.length_prefixed(key), coding.length_prefixed(value)))
+    d = d.withColumn("one", coding.read_length_prefixed(F.col("b"))).withColumn("two", coding.read_length_prefixed(F.col("b"), F.col("one.next")))
+    return d.select("seq", F.col("one.value").cast("string").alias("one"), F.col("two.value").cast("string").alias("two"), F.col("two.next").alias("n"), coding.read_length_prefixed(F.col("b"), F.col("two.next"))["next"].isNull().alias("at_end"))
+
+
 _ON_LOG: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "kv_get": lambda d: _kv(versions.get(d, "000042")),
     "kv_deleted_keys": lambda d: versions.deleted_keys(d).withColumnRenamed("key", "k"),
     "kv_visible": lambda d: _kv(versions.visible(d), "seq"),
     "kv_snapshot_get": lambda d: _kv(versions.visible(d, SNAPSHOT), "seq"),
@@ -65,12 +84,19 @@ _ON_LOG: dict[str, Callable[[DataFrame], DataFrame]] = {
     "varint_codec": lambda d: d.select("seq", F.hex(coding.varint(F.col("seq"))).alias("encoded"), coding.read_varint(coding.varint(F.col("seq")))["value"].alias("decoded")),
     "fixed_codec": lambda d: d.select("seq", F.hex(coding.fixed32(F.col("seq"))).alias("f32"), F.hex(coding.fixed64(F.col("seq"))).alias("f64"), coding.read_fixed64(coding.fixed64(F.col("seq"))).alias("decoded")),
     "length_prefixed": lambda d: d.where("is_put").select("seq", F.hex(coding.length_prefixed(F.col("value").cast("binary"))).alias("encoded")),
+    "varint_decode": _varint_decode,
+    "length_prefixed_read": _length_prefixed_read,
+    "merge_runs": lambda d: _full(compaction.merge(*[d.where(F.col("seq") % 4 == i) for i in range(4)])),
     "crc32c": lambda d: d.select("seq", coding.crc32c(F.coalesce(F.col("value"), F.lit("")).cast("binary")).alias("crc")),
 }
 
 
+def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kv(versions.get(log(spark, sf_dir, 42), "000042"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(log(spark, sf_dir))) for name, f in _ON_LOG.items()}
+    return {"kv_get": kv_get} | {name: (lambda spark, sf_dir, f=f: f(log(spark, sf_dir))) for name, f in _ON_LOG.items()}
 
 
 _LOG = "log as (select event_id as seq, lpad(cast(user_id as varchar),6,'0') as k, case when event_type='error' then 0 else 1 end as is_put, case when event_type='error' then null else props end as v from events)"
@@ -91,7 +117,14 @@ _VARINT = """case when seq<128 then {a} when seq<16384 then {b} else {c} end""".
     c="right('0'||upper(to_hex((seq & 127) | 128)),2)||right('0'||upper(to_hex(((seq >> 7) & 127) | 128)),2)||right('0'||upper(to_hex(seq >> 14)),2)",
 )
 
+_BITS = "length(bin(x))"
+_CASTAGNOLI = "list_transform(range(256), lambda x: list_reduce(list_prepend(x::bigint, range(8)), lambda a,b: case when a&1=1 then xor(a>>1, 2197175160) else a>>1 end))"
+
 _SQL = {
+    "varint_decode": f"select seq, array_to_string(list_transform(range(cast(ceil({_BITS}/7.0) as bigint)), lambda i: right('0'||upper(to_hex(((x >> (7*i)::int) & 127) | case when i<ceil({_BITS}/7.0)-1 then 128 else 0 end)),2)), '') encoded, x decoded, seq*{_NARROW} decoded32, true short_is_refused from (select seq, seq*{_WIDE} x from log) w",
+    "length_prefixed_read": "select seq, k one, repeat(v,12) two, cast(1+strlen(k)+case when strlen(v)*12<128 then 1 else 2 end+strlen(v)*12 as int) n, true at_end from log where is_put=1",
+    "merge_runs": "select k,seq,is_put,v from log",
+    "crc32c": f"select seq, case when length(b)=0 then 0 else xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(b,''), lambda ch: ascii(ch)::bigint)), lambda c,x: xor(tab[(xor(c,x)&255)+1], c>>8)), 4294967295) end crc from (select seq, coalesce(v,'') b from log) w, (select {_CASTAGNOLI} tab) t",
     "kv_get": "select k,v from vis where k='000042'",
     "kv_deleted_keys": "select k,max(seq) last_seq from log where k not in (select k from vis) group by k",
     "kv_visible": "select k,v,seq from vis",
@@ -118,5 +151,9 @@ _SQL = {
 }
 
 
+def with_log(sql: dict[str, str]) -> dict[str, str]:
+    return {name: f"with {_LOG}, {_VIS} {x}" for name, x in sql.items()}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: f"with {_LOG}, {_VIS} {sql}" for name, sql in _SQL.items()}
+    return with_log(_SQL)

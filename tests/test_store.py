@@ -1,5 +1,6 @@
 """The store on disk: against a dictionary, crash points, snapshots, compaction, repair, streaming, the command line."""
 
+import os
 import random
 
 import pytest
@@ -163,3 +164,93 @@ def test_file_names(spark):
     assert {n: kind_of(n) for n in names} == names
     got = parse_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()
     assert {r["name"]: (r["kind"], r["number"]) if r["kind"] else None for r in got} == names
+
+
+def test_vacuum_waits_from_the_removal(spark, tmp_path):
+    """A run that was written long ago and compacted just now stays for its grace under readers of the older manifest."""
+    path = f"file://{tmp_path}/db"
+    with S.Store(spark, path, S.Options(grace_ms=60_000)) as db:
+        db.put("a", "1")
+        db.put("b", "2")
+        reader = S.Store(spark, path, S.Options(read_only=True))
+        db.compact_range()
+        now = max(db.manifest.removed.values())
+        for n in (tmp_path / "db" / "runs").iterdir():
+            os.utime(n, (0, 0))  # written in 1970
+        assert [x for x in db.vacuum(now + 59_000) if x.startswith("runs")] == [] and reader.get("a") == b"1"
+        assert sum(x.startswith("runs") for x in db.vacuum(now + 61_000)) == 2
+        assert db.get("a") == b"1" and not any(x.startswith("runs") for x in db.manifest.removed)
+
+
+def test_repair_takes_the_newest_manifest(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    lost = spark.createDataFrame([(bytearray(b"k"), 99, True, bytearray(b"never committed"))], S.LOG_SCHEMA)
+    with S.Store(spark, path) as db:
+        db.put("k", "old")
+        db.put("k", "new")
+        db.compact_range()
+        db.delete("gone")
+        db._write_run(db._next(), lost, 0)
+        seq, name = db.manifest.last_seq, f"{db.manifest.number:06d}.json"
+    (tmp_path / "db" / "CURRENT").write_text("no such manifest")
+    with S.repair(spark, path) as db:
+        assert db.repaired_from == name and db.get("k") == b"new" and db.manifest.last_seq == seq and len(db.manifest.runs) == 2
+        assert db.put("x", "1") == seq + 1
+    for n in (tmp_path / "db" / "manifest").glob("*.json"):
+        n.write_text("{")
+    (tmp_path / "db" / "CURRENT").unlink()
+    with S.repair(spark, path) as db:  # the last resort
+        assert db.repaired_from is None and db.manifest.last_seq == 99
+
+
+def test_open_checks_the_comparator(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    S.Store(spark, path).close()
+    with pytest.raises(S.InvalidArgument):
+        S.Store(spark, path, S.Options(comparator="reverse"))
+    S.Store(spark, path).close()  # the failed one left no lock
+
+
+def test_ordinals_are_checked(spark, tmp_path):
+    with S.Store(spark, f"file://{tmp_path}/db") as db:
+        for bad in ([0, 0], [0, 2], [1, 2], [0, 3, 3, 3], [-1, 0]):
+            with pytest.raises(S.InvalidArgument):
+                db.write_frame(spark.createDataFrame([(i, "k", True, "v") for i in bad], "ordinal long, key string, is_put boolean, value string"))
+        assert db.manifest.last_seq == 0 and db.log().count() == 0
+        assert db.write_frame(spark.createDataFrame([(1, "b", True, "v"), (0, "a", True, "v")], "ordinal long, key string, is_put boolean, value string")) == 2
+
+
+def test_deep_levels_are_compacted_in_turn(spark, tmp_path):
+    with S.Store(spark, f"file://{tmp_path}/db") as db:
+        for k in "cab":
+            db.put(k, k)
+            db.compact_level(0)
+        assert [r["level"] for r in db.manifest.runs] == [1, 1, 1]
+        seen = []
+        for _ in range(3):
+            db.compact_level(1)
+            seen.append(db.manifest.pointers["1"])
+        assert seen == ["61", "62", "63"] and {r["level"] for r in db.manifest.runs} == {2}
+        assert [(k, v) for k, v in state(db)] == [(b"a", b"a"), (b"b", b"b"), (b"c", b"c")]
+
+
+def test_ranges_that_hold_a_key(spark):
+    ranges = [("10", "20"), ("15", "30"), ("40", "40"), ("61", "6162"), ("80", "FF")]
+    keys = [b"", b"\x10", b"\x2f", b"\x30", b"\x30\x00", b"\x3f", b"\x40", b"\x40\x00", b"a", b"ab", b"abc", b"\x7f", b"\x80", b"\xff", b"\xff\x00"]
+    got = [r[0] for r in spark.createDataFrame([(bytearray(k),) for k in keys], "key binary").select(S._covered("key", ranges)).collect()]
+    assert got == [any(bytes.fromhex(a) <= k <= bytes.fromhex(b) for a, b in ranges) for k in keys]
+
+
+def test_checksums_of_all_lengths():
+    def slow(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    rng = random.Random(4)
+    values = [rng.randbytes(n) for n in (0, 1, 9, 1023, 1024, 1025, 5000, 0, 3 * 1024, 2)]
+    assert coding.crc32c_many(values).tolist() == [slow(v) for v in values] and coding.crc32c_many([]).tolist() == []
+    assert coding.crc32c_of(b"123456789") == 0xE3069283
