@@ -1,4 +1,13 @@
-"""A corpus pipeline over documents: quality rules, line dedup, n-gram Jaccard join, source mix, packing."""
+"""A corpus pipeline over documents: quality rules, line dedup, n-gram Jaccard join, source mix, packing.
+
+Each stage reads all rows that its predecessor kept. All but the last return the columns of documents, whatever they are called; copies of a
+document in the mix are rows of their own.
+
+Defined cases: rows with a null or empty text fail the quality rules and go; a null id or source passes through like any other value; an
+empty documents or labels table gives an empty result, or one without learned rules; repeated rows are judged each, and line dedup and the Jaccard join
+take equal rows of one id for one document, of which one stays; ties are settled by id and text hash. A document that loses its last
+line goes.
+"""
 
 from __future__ import annotations
 
