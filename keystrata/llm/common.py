@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -82,6 +83,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage: only then does Spark drop the broadcast tables of finished plans from the executors' memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_stored(*dfs: DataFrame) -> None:
     """Delete the files of tables made by stored(), when nothing will read them again."""
     for df in dfs:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import BITS, as_rows, bit_set, drop_stored, of_rows, spread, stored
+from keystrata.llm.common import BITS, as_rows, bit_set, drop_stored, of_rows, release, spread, stored
 from keystrata.llm.graph import components
 from keystrata.llm.text_hash import fmix, give_back, shingles, word_hashes
 
@@ -46,7 +46,7 @@ HOT = 16
 #: How often classes that share a hot part of their differences become groups of their own.
 DEPTH = 3
 #: They do where comparing them at once takes more pairs a class than this.
-SPARE = 4 * HOT
+SPARE = 2 * HOT
 #: The part of a set by which the first prefix is longer than needed, so that several elements must be shared.
 EXTRA = Fraction(1, 20)
 #: Elements at most that are known to stand in very many classes.
@@ -171,8 +171,8 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEP
     e = stored(e.join(d.drop("d"), ["c", "rep"]).join(least.select("c", F.col("m.s").alias("ms")), "c"), "shared")
     o = F.greatest(F.ceil((F.greatest(F.col("s"), 1 - F.col("ms")) + F.col("s")) / F.lit(2 * down) - 1e-9), F.lit(1))
     first = F.greatest((F.size("k") - o + 1).cast("int"), F.lit(0))
-    at = e.select("c", "rep", "n", "label", "s", (F.col("s") > -F.col("ms")).alias("probe"), o.cast("long").alias("o"), first.alias("first"), F.posexplode("k").alias("i", "k"))
-    at = stored(at.select("c", F.col("k.e").alias("e"), "rep", "n", "label", "s", "o", "probe", (F.col("i") < F.col("first")).alias("index")).where("probe or index"), "at")
+    at = e.select("c", "rep", "n", "label", "s", (F.col("s") > -F.col("ms")).alias("probe"), o.cast("long").alias("o"), first.alias("first"), F.size("k").alias("m"), F.posexplode("k").alias("i", "k"))
+    at = stored(at.select("c", F.col("k.e").alias("e"), "rep", "n", "label", "s", "o", "i", (F.col("m") - 1 - F.col("i")).alias("u"), "probe", (F.col("i") < F.col("first")).alias("index")).where("probe or index"), "at")
     key = at.groupBy("c", "e").agg(F.count(F.lit(1)).alias("size"), F.count_if("index").alias("i"), F.count_if("probe").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("leader"))
     at = at.join(key.where("i > 0 and p > 0 and lo != hi").select("c", "e", (F.col("i") * F.col("p") > SPARE * F.col("size")).alias("hot"), F.col("leader.rep").alias("leader")), ["c", "e"])
     if depth:
@@ -180,12 +180,15 @@ def hot_pairs(members: DataFrame, sets: DataFrame, t: Fraction, depth: int = DEP
         at = at.where("not hot")
         if not again.isEmpty():
             star = star.unionByName(hot_pairs(again, sets, t, depth - 1))
-    index, probe = (at.where(x).select("c", "e", *[F.col(k).alias(k[0] + y) for k in ("rep", "n", "s", "label", "o")]) for x, y in (("index", "b"), ("probe", "a")))
+    index, probe = (at.where(x).select("c", "e", *[F.col(k).alias(k[0] + y) for k in ("rep", "n", "s", "label", "o", "i", "u")]) for x, y in (("index", "b"), ("probe", "a")))
     near = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
-    found = index.join(probe, ["c", "e"]).where((F.col("la") != F.col("lb")) & ((F.col("sb") < F.col("sa")) | (F.col("sb") == F.col("sa")) & (F.col("rb") < F.col("ra"))) & near)
+    wanted = F.ceil((F.col("sa") + F.col("sb")) / F.lit(2 * down) - 1e-9)
+    # no more elements can be shared than stand before e in both, and behind it
+    room = F.least("ia", "ib") + F.least("ua", "ub") + 1 >= wanted
+    found = index.join(probe, ["c", "e"]).where(room & (F.col("la") != F.col("lb")) & ((F.col("sb") < F.col("sa")) | (F.col("sb") == F.col("sa")) & (F.col("rb") < F.col("ra"))) & near)
     # what B doesn't index adds at most o - 1 elements to those found; where a hot element is shared too, the group of that one has the pair
     found = found.groupBy("c", "ra", "na", "rb", "nb", "sa", "sb", "ob").agg(F.count(F.lit(1)).alias("both"))
-    found = found.where(F.col("both") + F.col("ob") - 1 >= F.ceil((F.col("sa") + F.col("sb")) / F.lit(2 * down) - 1e-9))
+    found = found.where(F.col("both") + F.col("ob") - 1 >= wanted)
     return stored(star.unionByName(found.select(F.col("ra").alias("a"), "na", F.col("rb").alias("b"), "nb")).distinct(), "hot-pairs")
 
 
@@ -244,6 +247,7 @@ def links(d: DataFrame, t: Fraction) -> DataFrame:
         both = F.size(F.array_intersect("tokensa", "tokensb")).cast("long")
         new = stored(j.where(both * t.denominator >= (F.col("na") + F.col("nb") - both) * t.numerator).select("a", "b"), "links")
         drop_stored(first, pairs)
+        release(d.sparkSession)
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             labels = stored(components(found).select(F.col("node").alias("rep"), "component"), "labels")
@@ -258,6 +262,7 @@ def labelled(docs: DataFrame, words: int, threshold: float | str) -> DataFrame:
     left = stored(candidates_left(long, names, t), "left")
     sets = stored(long.select("doc_id", "th", "n", "fa", "fb"), "classes")
     drop_stored(long)
+    release(docs.sparkSession)
     # the class decides, not the id alone: rows of one id may have different texts
     mine = left.select("rep", "central").join(names.select("rep", "id", F.col("fa").alias("_a"), F.col("fb").alias("_b")), "rep")
     whole = sets_of(docs, words, t, bit_set(mine, "id"), whole=True).where("doc_id is not null and n > 0")

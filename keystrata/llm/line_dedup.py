@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import BITS, as_rows, bit_set, drop_stored, let, of_rows, spread, stored
+from keystrata.llm.common import BITS, as_rows, bit_set, drop_stored, let, of_rows, release, spread, stored
 from keystrata.llm.text_hash import fmix, give_back, powers
 
 #: Production parameters: characters a line needs to take part in the edit join, and edits allowed.
@@ -349,6 +349,7 @@ def witnesses(src: DataFrame, first: DataFrame, threshold: int = THRESHOLD, leas
     in_hot = stored(placed.join(hot, "key", "left_semi"), "in-hot")
     found = _verified(plain, text, threshold)
     drop_stored(shared, placed, plain)
+    release(src.sparkSession)
 
     leader = None
     for _ in range(LEADERS):
@@ -384,6 +385,7 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, ex
     place = F.struct("doc_id", "th", "line")
     first = stored(at.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "first")
     near = witnesses(src, first.select("h", "first"), threshold, least)
+    release(docs.sparkSession)
     gone = near.join(first.select(F.col("h").alias("w"), F.col("first").alias("p")), "w").groupBy("h").agg(F.min("p").alias("before"))
     # Only lines that are repeated or have a near one before them lose a place; short ones may be very common.
     part = F.pmod(F.xxhash64("doc_id", "line"), F.lit(SPREAD)).cast("int")
@@ -406,11 +408,11 @@ def report(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, exac
 def deduped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """docs with docs' columns, the text without the lines that go; a document that loses its last line goes."""
     r = removals(docs, threshold, least, exact).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("removed").alias("_gone"))
-    d = as_rows(docs).select("_row", F.col("_row.doc_id").cast("long").alias("_id"), F.col("_row.text").cast("string").alias("_x"))
-    d = d.withColumn("_th", F.xxhash64(F.coalesce(F.col("_x"), F.lit(""))))
+    text = F.col("_row.text").cast("string")
+    d = as_rows(docs).select("_row", F.col("_row.doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"))
     j = d.join(r, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(F.split("_x", "\n")) - 1), "_gone")
-    left = let(F.split("_x", "\n"), lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n"))
-    out = j.withColumn("_y", F.when(F.col("_gone").isNull(), F.col("_x")).otherwise(left))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), "_gone")
+    left = let(F.split(text, "\n"), lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n"))
+    out = j.withColumn("_y", F.when(F.col("_gone").isNull(), text).otherwise(left))
     out = out.where(F.col("_gone").isNull() | (F.length(F.btrim("_y", F.lit(" \t\n\x0b\f\r"))) > 0))
     return out.select(*[F.col("_y").alias(c) if c == "text" else c_ for c, c_ in zip(docs.columns, of_rows(docs), strict=True)])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import WORD, as_rows, global_rank, of_rows, spread, stored
+from keystrata.llm.common import WORD, as_rows, global_rank, of_rows, release, spread, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Blocks have at most this many words; a small source is cut finer, into MIN_BLOCKS blocks at least.
@@ -98,6 +98,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repea
     sized = stored(sized_documents(docs), "sizes")
     sources = sources_of(sized, weights, max_repeats, block)
     d = stored(_placed(sized, sources), "placed")
+    release(docs.sparkSession)
     times = stored(schedule(sized, sources, max_repeats).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times")), "times")
 
     first, last = F.expr("at div length"), F.expr("(at + size - 1) div length")

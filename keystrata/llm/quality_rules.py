@@ -191,5 +191,4 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without the rejected rows, with docs' columns."""
     rules = fit(docs, labels, sample)
-    d = as_rows(spread(docs)).select("_row", F.col("_row.text").cast("string").alias("_t"))
-    return with_stats(d, "_t").where(verdict(rules)).select(*of_rows(docs))
+    return with_stats(as_rows(spread(docs)), "_row.text").where(verdict(rules)).select(*of_rows(docs))
