@@ -171,3 +171,8 @@ def crc32c(b: Column) -> Column:
 def murmur(b: Column) -> Column:
     """A 32-bit Murmur hash of a binary column, as Spark's own (Murmur3, seed 42)."""
     return F.hash(b)
+
+
+def key_hash(value: Column) -> Column:
+    """Murmur3 over 32 bits, as Spark has it (seed 42): a signed int. Nulls hash to the seed."""
+    return F.hash(value)

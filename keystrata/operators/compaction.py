@@ -69,3 +69,14 @@ def level_scores(runs: DataFrame, level: Column, l0_trigger: int = L0_TRIGGER, l
     d = runs.groupBy(level.alias("lvl")).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
     limit = F.lit(float(l1_bytes)) * F.pow(F.lit(float(growth)), F.greatest(F.col("lvl") - 1, F.lit(0)))
     return d.withColumn("score", F.when(F.col("lvl") == 0, F.col("files").cast("double") / l0_trigger).otherwise(F.col("bytes").cast("double") / limit))
+
+
+def next_runs(runs: DataFrame, level: Column, pointer: Column) -> DataFrame:
+    """(lvl, run_id, smallest, largest, pointer): the run that each level compacts next, going round its key space.
+
+    pointer is the largest key that the level's last compaction took, null before the first: the run with the smallest key among those that reach beyond
+    it is next, or the level's first run where none does. The new pointer is that run's largest key."""
+    d = runs.withColumn("lvl", level).withColumn("_at", pointer)
+    behind = F.coalesce(F.col("largest") <= F.col("_at"), F.lit(False))
+    first = d.groupBy("lvl").agg(F.min(F.struct(behind.alias("behind"), "smallest", "run_id", "largest")).alias("m"))
+    return first.select("lvl", "m.run_id", "m.smallest", "m.largest", F.col("m.largest").alias("pointer"))

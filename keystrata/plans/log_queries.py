@@ -78,6 +78,7 @@ _ON_LOG: dict[str, Callable[[DataFrame], DataFrame]] = {
     "major_compact": lambda d: _full(compaction.compact(d, SNAPSHOT)),
     "overlap_files": lambda d: compaction.overlaps(_runs(d)),
     "level_score": lambda d: compaction.level_scores(_runs(d), F.when(F.col("run_id") < 4, 1).otherwise(0)),
+    "compaction_pointer": lambda d: compaction.next_runs(_runs(d), F.col("run_id") % 3, F.when(F.col("run_id") % 3 == 1, "000050").when(F.col("run_id") % 3 == 2, "zzz")),
     "batch_summary": lambda d: compaction.batches(d, _every(BATCH)),
     "varint_len": lambda d: d.select("seq", coding.varint_length(F.col("seq")).alias("n")),
     "prefix_shared": _prefix_shared,
@@ -87,6 +88,7 @@ _ON_LOG: dict[str, Callable[[DataFrame], DataFrame]] = {
     "varint_decode": _varint_decode,
     "length_prefixed_read": _length_prefixed_read,
     "merge_runs": lambda d: _full(compaction.merge(*[d.where(F.col("seq") % 4 == i) for i in range(4)])),
+    "key_hash": lambda d: d.select("seq", coding.key_hash(F.col("seq").cast("long")).alias("h")),
     "crc32c": lambda d: d.select("seq", coding.crc32c(F.coalesce(F.col("value"), F.lit("")).cast("binary")).alias("crc")),
 }
 
@@ -118,6 +120,19 @@ _VARINT = """case when seq<128 then {a} when seq<16384 then {b} else {c} end""".
 )
 
 _BITS = "length(bin(x))"
+
+
+def _times(x: str, n: int) -> str:
+    return f"(({x})::hugeint*{n}%4294967296)::bigint"
+
+
+def _turned(x: str, n: int) -> str:
+    return f"(((({x})<<{n})|(({x})>>{32 - n}))&4294967295)"
+
+
+# Murmur3 over the two halves of a long; the numbers are those of the published function, and may not differ.
+_WORD = _times(_turned(_times("w", 3432918353), 15), 461845907)
+_MURMUR = f"list_reduce([42, seq&4294967295, seq>>32], lambda h,w: ({_times(_turned(f'xor(h,{_WORD})', 13), 5)}+3864292196)&4294967295)"
 _CASTAGNOLI = "list_transform(range(256), lambda x: list_reduce(list_prepend(x::bigint, range(8)), lambda a,b: case when a&1=1 then xor(a>>1, 2197175160) else a>>1 end))"
 
 _SQL = {
@@ -125,6 +140,8 @@ _SQL = {
     "length_prefixed_read": "select seq, k one, repeat(v,12) two, cast(1+strlen(k)+case when strlen(v)*12<128 then 1 else 2 end+strlen(v)*12 as int) n, true at_end from log where is_put=1",
     "merge_runs": "select k,seq,is_put,v from log",
     "crc32c": f"select seq, case when length(b)=0 then 0 else xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(b,''), lambda ch: ascii(ch)::bigint)), lambda c,x: xor(tab[(xor(c,x)&255)+1], c>>8)), 4294967295) end crc from (select seq, coalesce(v,'') b from log) w, (select {_CASTAGNOLI} tab) t",
+    "key_hash": f"select seq, cast(case when h>=2147483648 then h-4294967296 else h end as int) h from (select seq, xor(h,h>>16) h from (select seq, {_times('xor(h,h>>13)', 3266489909)} h from (select seq, {_times('xor(h,h>>16)', 2246822507)} h from (select seq, xor({_MURMUR},8) h from (select seq::bigint seq from log) l) a) b) c) d",
+    "compaction_pointer": f"select lvl,run_id,smallest,largest,largest pointer from (select *, row_number() over(partition by lvl order by case when largest>reached then 0 else 1 end, smallest, run_id) rn from (select *, run_id%3 lvl, case run_id%3 when 0 then '' when 1 then '000050' else 'zzz' end reached from {_RUNS} r) l) t where rn=1",
     "kv_get": "select k,v from vis where k='000042'",
     "kv_deleted_keys": "select k,max(seq) last_seq from log where k not in (select k from vis) group by k",
     "kv_visible": "select k,v,seq from vis",

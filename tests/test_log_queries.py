@@ -82,3 +82,15 @@ def test_broken_cursor_raises(spark):
     assert d.columns == ["key", "value"]
     with pytest.raises(Exception, match="no such run"):
         d.collect()
+
+
+def test_compaction_goes_round(spark):
+    """Each turn takes the next run of the level, and the first one again after the last."""
+    runs = spark.createDataFrame([(3, "g", "k"), (1, "a", "c"), (2, "d", "f")], "run_id long, smallest string, largest string")
+    pointer, taken = None, []
+    for _ in range(4):
+        (r,) = compaction.next_runs(runs, F.lit(1), F.lit(pointer).cast("string")).collect()
+        taken.append(r["run_id"])
+        pointer = r["pointer"]
+    assert taken == [1, 2, 3, 1]
+    assert compaction.next_runs(runs.where("false"), F.lit(1), F.lit("a")).count() == 0
