@@ -95,7 +95,8 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.lpad(F.col("seq").cast("string"), 6, "0")
+    n = F.col("seq").cast("string")
+    n = F.lpad(n, F.greatest(F.lit(6), F.length(n)), "0")  # lpad cuts what is longer
     kinds = [F.concat(n, F.lit(x)) for x in (".wal", ".sst", ".dbtmp", ".txt")] + [F.concat(F.lit("MANIFEST-"), n), F.lit("CURRENT"), F.lit("LOCK"), F.lit("LOG")]
     name = reduce(lambda out, i: F.when(F.col("seq") % 8 == i, kinds[i]).otherwise(out), range(8), F.lit(None).cast("string"))
     return files.parse_names(log_queries.log(spark, sf_dir).select("seq", name.alias("name"))).select("seq", "name", F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("number", F.lit(-1)).cast("long").alias("number"))

@@ -80,5 +80,5 @@ def parse_names(names: DataFrame, column: str = "name") -> DataFrame:
     base, kind = F.regexp_extract(column, r"[^/]*$", 0), F.lit(None).cast("string")
     for pattern, k in KINDS.items():
         kind = F.when(base.rlike(pattern), k).otherwise(kind)
-    number = F.when(kind.isNotNull(), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(base, r"\d+", 0), F.lit("")), F.lit("999999999999999999")).cast("long"), F.lit(0)))
+    number = F.when(kind.isNotNull(), F.coalesce(F.regexp_extract(base, r"\d+", 0).try_cast("long"), F.lit(0)))
     return names.withColumn("kind", kind).withColumn("number", number)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from keystrata import cli
 from keystrata.functions import coding, wal
 from keystrata.operators import cursor
+from keystrata.plans import store_queries
 from keystrata.sources import store as S
 from keystrata.sources.files import kind_of, parse_names
 from keystrata.streaming.ingest import ingest
@@ -166,6 +167,15 @@ def test_file_names(spark):
     assert {r["name"]: (r["kind"], r["number"]) if r["kind"] else None for r in got} == names
 
 
+def test_file_names_keep_all_digits(spark, tmp_path):
+    seqs = [n for start in (0, 999_992, 1_000_000, 2**63 - 8) for n in range(start, start + 8)]
+    spark.createDataFrame([(n, 1, "view", "x") for n in seqs], "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    kinds = ["wal", "sst", "temp", "none", "manifest", "current", "lock", "log"]
+    names = ["{:06d}.wal", "{:06d}.sst", "{:06d}.dbtmp", "{:06d}.txt", "MANIFEST-{:06d}", "CURRENT", "LOCK", "LOG"]
+    got = store_queries.file_names(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [tuple(r) for r in got] == [(n, names[n % 8].format(n), kinds[n % 8], -1 if n % 8 == 3 else 0 if n % 8 > 4 else n) for n in seqs]
+
+
 def test_vacuum_waits_from_the_removal(spark, tmp_path):
     """A run that was written long ago and compacted just now stays for its grace under readers of the older manifest."""
     path = f"file://{tmp_path}/db"
